@@ -1,0 +1,2 @@
+"""Nothing here: the export is a batch job. Selection without ignore rules and the text steps
+are row-wise, so they also run on a streaming DataFrame as they are."""
