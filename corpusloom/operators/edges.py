@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.paths import base_name, extension_lower, fold_dots, parent_dir, prefixes, resolve_path
 from corpusloom.functions.text import read_text
 from corpusloom.operators.ordering import spread_join
+from corpusloom.staging import stage
 
 # File types that are searched for imports, and the order in which an
 # extension-less import is tried.
@@ -155,10 +156,10 @@ def resolve(raw: DataFrame, files: DataFrame) -> DataFrame:
         *at, *[F.col(f"_best.{c}").alias(c) for c in [*rest, "dst"]])
 
 
-def import_edges(raw: DataFrame, files: DataFrame) -> DataFrame:
+def import_edges(resolved: DataFrame) -> DataFrame:
     label = (F.when(F.col("form") == "require", "Required by ")
              .when(F.col("form") == "dynamic", "Dynamic imported by ").otherwise("Imported by "))
-    return resolve(raw, files).select(
+    return resolved.select(
         "project", "src", "dst", "kind", "ord", "spec", "type_only",
         F.concat(label, "src", F.lit(' ("'), "spec", F.lit('")')).alias("reason"))
 
@@ -185,7 +186,7 @@ def detect_framework(files: DataFrame) -> DataFrame:
 _MODULE_PROPS = ("imports", "controllers", "providers", "exports")
 
 
-def module_edges(raw: DataFrame, files: DataFrame) -> DataFrame:
+def module_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Edges from the arrays of @Module({...}) in nestjs projects: an identifier leads to the
     file it is imported from, or to its own file if it is declared there."""
     nest = detect_framework(files).where("framework = 'nestjs'").select("project")
@@ -213,11 +214,8 @@ def module_edges(raw: DataFrame, files: DataFrame) -> DataFrame:
         (F.col("_at") * 1_000_000_000 + F.col("_prop_at") * 1_000_000 + F.col("_name_at")).cast("long").alias("ord"),
         F.btrim("_name", F.lit(" \t\r\n")).alias("ident"),
     ).where(F.rlike("ident", F.lit(r"\A[A-Za-z_$][\w$]*\z")))
-    bindings = resolve(
-        import_bindings(raw).groupBy("project", "src", "ident").agg(
-            F.min(F.struct("kind", "ord", "spec")).alias("_b"))
-        .select("project", "src", "ident", "_b.*"), files,
-    ).select("project", "src", "ident", "dst")
+    bindings = import_bindings(resolved).groupBy("project", "src", "ident").agg(
+        F.min(F.struct("ord", "dst"))["dst"].alias("dst"))
     # Both sides are spread by file, so this join has no hot key.
     joined = names.join(bindings, ["project", "src", "ident"], "left")
     dst = F.coalesce("dst", F.when(F.array_contains("_declared", F.col("ident")), F.col("src")))
@@ -228,13 +226,13 @@ def module_edges(raw: DataFrame, files: DataFrame) -> DataFrame:
         .alias("reason")).where("dst is not null")
 
 
-def import_bindings(raw: DataFrame) -> DataFrame:
-    """(project, src, kind, ord, spec, ident): the local names of import statements."""
+def import_bindings(resolved: DataFrame) -> DataFrame:
+    """(project, src, ord, ident, dst): the local names of import statements."""
     names = F.split(F.regexp_replace(F.regexp_replace("clause", r"\Atype\s+", ""), r"[{}]", ","), ",")
     local = F.regexp_replace(F.btrim("_name", F.lit(" \t\r\n")), r"(?s)\A.*\sas\s+|\Atype\s+", "")
-    return raw.where("form = 'import' and clause <> ''").select(
-        "project", "src", "kind", "ord", "spec", F.explode(names).alias("_name")).select(
-        "project", "src", "kind", "ord", "spec", local.alias("ident")).where(F.rlike("ident", F.lit(r"\A[\w$]+\z")))
+    return resolved.where("form = 'import' and clause <> ''").select(
+        "project", "src", "ord", "dst", F.explode(names).alias("_name")).select(
+        "project", "src", "ord", local.alias("ident"), "dst").where(F.rlike("ident", F.lit(r"\A[\w$]+\z")))
 
 
 def keep_edges(edges: DataFrame, include_types: bool = True, include_node_modules: bool = False) -> DataFrame:
@@ -247,5 +245,5 @@ def keep_edges(edges: DataFrame, include_types: bool = True, include_node_module
 
 def all_edges(files: DataFrame) -> DataFrame:
     """Import, call and module edges of all projects."""
-    raw = edges_raw(files)
-    return import_edges(raw, files).unionByName(module_edges(raw, files))
+    resolved = stage(resolve(edges_raw(files), files))
+    return import_edges(resolved).unionByName(module_edges(resolved, files))

@@ -55,7 +55,6 @@ def code_lines(files: DataFrame) -> DataFrame:
 
     The windows run over the lines of one file, whose size the size filter bounds.
     """
-    by_line = Window.partitionBy("project", "path").orderBy("line")
     lines = files.select("project", "path", F.posexplode(F.split(read_text(F.col("content")), "\n", -1))
                          .alias("line", "raw"))
     no_escapes = F.regexp_replace("raw", r"\\.", "")
@@ -63,7 +62,7 @@ def code_lines(files: DataFrame) -> DataFrame:
     marked = lines.withColumn("_bare", F.regexp_replace(no_comments, _STRINGS, '""'))
     # What is left opens or closes a block comment of several lines.
     mark = F.when(F.contains("_bare", F.lit("/*")), 1).when(F.contains("_bare", F.lit("*/")), 0)
-    before = F.last(mark, ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(mark, ignorenulls=True).over(_file_lines().rowsBetween(Window.unboundedPreceding, -1))
     inside = F.coalesce(before, F.lit(0)) == 1
     visible = F.when(inside, F.when(F.contains("_bare", F.lit("*/")), F.regexp_replace("_bare", r"^.*?\*/", ""))
                      .otherwise(F.lit(""))).otherwise(F.col("_bare"))
@@ -76,15 +75,24 @@ _METHOD = (r"^\s*(?:(?:public|private|protected|static|async|override|readonly|a
            r"([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\(")
 # Words before '(' that are not method names.
 _NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "function", "constructor", "super", "new")
-_FILE = Window.partitionBy("project", "path").orderBy("line")
-_UP_TO_HERE = _FILE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_FROM_HERE = _FILE.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+
+def _file_lines():
+    return Window.partitionBy("project", "path").orderBy("line")
+
+
+def _up_to_here():
+    return _file_lines().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _from_here():
+    return _file_lines().rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def nested_lines(code: DataFrame) -> DataFrame:
     """code plus the brace depth before and after each line."""
     net = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    return code.withColumn("_net", net).withColumn("_after", F.sum("_net").over(_UP_TO_HERE)).withColumn(
+    return code.withColumn("_net", net).withColumn("_after", F.sum("_net").over(_up_to_here())).withColumn(
         "_before", F.col("_after") - F.col("_net"))
 
 
@@ -99,13 +107,13 @@ def _spans(lines: DataFrame, level: int, class_name: Column, name: Column) -> Da
         | (here & ~decorator & F.rlike(code, F.lit(r"\S")) & ~F.rlike(code, F.lit(r"[,(]\s*$|^\s*\)")))
     )
     runs = lines.withColumn("_ends", ends).withColumn(
-        "_run", F.sum(F.coalesce(F.lag("_ends").over(_FILE), F.lit(True)).cast("int")).over(_UP_TO_HERE))
+        "_run", F.sum(F.coalesce(F.lag("_ends").over(_file_lines()), F.lit(True)).cast("int")).over(_up_to_here()))
     in_run = Window.partitionBy("project", "path", "_run").orderBy("line").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     closes = (F.col("_after") == level) & F.rlike(code, F.lit(r"\}|;\s*$"))
     return (
         runs.withColumn("_start", F.min(F.when(decorator & (F.col("_before") == level), F.col("line"))).over(in_run))
-        .withColumn("_end", F.min(F.when(closes, F.col("line"))).over(_FROM_HERE))
+        .withColumn("_end", F.min(F.when(closes, F.col("line"))).over(_from_here()))
         .where(F.coalesce("_decl", F.lit("")) != "")
         .select("project", "path", class_name.alias("class_name"), name.alias("name"),
                 F.coalesce("_start", "line").cast("int").alias("start"),
@@ -125,7 +133,7 @@ def declarations(nested: DataFrame) -> DataFrame:
     a_method = F.regexp_extract(code, _METHOD, 1)
     continues = F.rlike(code, F.lit(r"^\s*(?:extends\b|implements\b|\{|,|$)"))
     # The class around a line: the last one at the top, until another top-level statement.
-    owner = F.last(F.when(top & ((a_class != "") | ~continues), a_class), ignorenulls=True).over(_UP_TO_HERE)
+    owner = F.last(F.when(top & ((a_class != "") | ~continues), a_class), ignorenulls=True).over(_up_to_here())
     lines = nested.withColumn("_owner", F.coalesce(owner, F.lit("")))
     classes = _spans(lines.withColumn("_decl", F.when(top, a_class)), 0, F.col("_decl"), F.lit(""))
     functions = _spans(lines.withColumn("_decl", F.when(top, a_function)), 0, F.lit(""), F.col("_decl"))
@@ -138,7 +146,7 @@ def declarations(nested: DataFrame) -> DataFrame:
 def import_ranges(nested: DataFrame) -> DataFrame:
     """(project, path, start, end): an import statement ends on the first line with a string."""
     opens = (F.col("_before") == 0) & F.rlike("code", F.lit(r"^\s*import\b(?!\s*\(|\s+[\w$]+\s*=)"))
-    end = F.min(F.when(F.contains("code", F.lit('""')), F.col("line"))).over(_FROM_HERE)
+    end = F.min(F.when(F.contains("code", F.lit('""')), F.col("line"))).over(_from_here())
     return nested.withColumn("_end", end).where(opens).select(
         "project", "path", F.col("line").cast("int").alias("start"),
         F.coalesce("_end", "line").cast("int").alias("end"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +13,16 @@ from corpusloom.operators.ordering import in_chunks, path_order, positions, spre
 from corpusloom.operators.process import process
 from corpusloom.operators.select import collect_files
 from corpusloom.operators.slices import slice_symbols
+from corpusloom.plans.sinks import terminated, write_rows
 from corpusloom.spec import DependencyScan, ExportSpec
 from corpusloom.staging import stage
 
 MANIFEST, TREE, FILE = 0, 1, 2
-OUTPUT_ORDER = [F.col("strategy_idx"), F.col("topo_pos"), *path_order()]
+
+
+def output_order():
+    """Strategy by strategy; a dependency scan by its walk, the others by path."""
+    return [F.col("strategy_idx"), F.col("topo_pos"), *path_order()]
 
 
 def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
@@ -56,7 +61,7 @@ def measure(files: DataFrame, spec: ExportSpec, names=None) -> Measured:
     texts = stage(collect(files, spec, names))
     narrow = texts.select("project", "path", "strategy", "strategy_idx", "topo_pos", "reason",
                           "original_size", "processed_size", "tokens")
-    chunks = in_chunks(narrow, ["project"], OUTPUT_ORDER)
+    chunks = in_chunks(narrow, ["project"], output_order())
     return Measured(texts, chunks, positions(chunks, ["project"]), files.select("project").distinct())
 
 
@@ -161,14 +166,12 @@ def summary(m: Measured) -> DataFrame:
 
 def preview_rows(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
     """The rows of a single unsplit export, for reading without a sink."""
-    from dataclasses import replace
     plain = replace(spec, output=replace(spec.output, mode="single"), budget=replace(spec.budget, enabled=False))
     return export_rows(files, plain, names).drop("file_name")
 
 
 def preview_text(files: DataFrame, spec: ExportSpec, project: str, max_chars: int = 50_000_000, names=None) -> str:
     """The whole preview of one project on the driver; refuses texts beyond max_chars."""
-    from corpusloom.plans.sinks import terminated
     rows = stage(preview_rows(files.where(F.col("project") == project), spec, names).withColumn("file_name", F.lit("")))
     chars = rows.agg(F.sum(F.length("text") + len(spec.format.separator))).first()[0] or 0
     if chars > max_chars:
@@ -179,7 +182,6 @@ def preview_text(files: DataFrame, spec: ExportSpec, project: str, max_chars: in
 
 def export(spark: SparkSession, files: DataFrame, spec: ExportSpec, target: str, names=None) -> DataFrame:
     """Write every output file below target and return the summary per project."""
-    from corpusloom.plans.sinks import write_rows
     m = measure(files, spec, names)
     write_rows(placed_rows(m, spec), spec.format.separator, target)
     return summary(m)
