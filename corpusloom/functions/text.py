@@ -29,8 +29,11 @@ WHITESPACE = "\n" + "".join(map(chr, _BLANKS))
 BLANK_CLASS = "".join(f"\\x{{{code:X}}}" for code in _BLANKS)
 WS = f"[\\n{BLANK_CLASS}]"
 _BREAKS = r"\n\r\x{2028}\x{2029}"
-# Start of a line: no character before, or a line break.
-_LINE_START = f"(?<![^{_BREAKS}])"
+# Start of a line. Java also counts U+0085 as a line end, ECMAScript does not.
+_LINE_START = r"(?m)^(?<!\x85)"
+# The white space within a line as Java sees it: \p{Z} has all of it but five control
+# characters and the byte order mark, and tests faster than a list of ranges.
+_BLANK = r"[\t\x0B\f\r\p{Z}\x{FEFF}]"
 
 _NODE_TO_CODEC = {"utf16le": "utf-16-le", "ucs2": "utf-16-le", "latin1": "iso-8859-1",
                   "binary": "iso-8859-1"}
@@ -65,12 +68,13 @@ def language(path: Column) -> Column:
 
 
 def strip_c_comments(text: Column) -> Column:
+    # The literal comes first and the look-behind after it: that is tested at few places only.
     no_blocks = F.regexp_replace(text, r"/\*[\s\S]*?\*/", "")
-    return F.regexp_replace(no_blocks, r"(^|[^:])//[^\n]*", "$1")
+    return F.regexp_replace(no_blocks, r"//(?<!://)[^\n]*", "")
 
 
 def strip_hash_comments(text: Column) -> Column:
-    return F.regexp_replace(text, f"(^|{WS})#[^\\n]*", "$1")
+    return F.regexp_replace(text, f"#(?<=(?:\\A|{WS})#)[^\\n]*", "")
 
 
 def strip_html_comments(text: Column) -> Column:
@@ -121,10 +125,10 @@ def collapse_blank(text: Column) -> Column:
 def trim_lines(text: Column) -> Column:
     """Trim the end of every line, then the whole text.
 
-    The look-behind lets a match start only where a run of blanks starts, so that
-    long runs inside a line cost linear, not quadratic, time.
+    A long run of blanks inside a line is matched as a whole and put back, so that it costs
+    linear, not quadratic, time.
     """
-    per_line = F.regexp_replace(text, f"(?<![{BLANK_CLASS}])[{BLANK_CLASS}]++(?=\\n|\\z)", "")
+    per_line = F.regexp_replace(text, f"{_BLANK}++(?=\\n|\\z)|({_BLANK}{{16}}{_BLANK}*+)", "$1")
     return F.btrim(per_line, F.lit(WHITESPACE))
 
 
