@@ -36,9 +36,7 @@ def depth(path: Column) -> Column:
 
 def prefixes(path: Column) -> Column:
     """a/b/c -> [a, a/b, a/b/c]"""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.transform(F.sequence(F.lit(1), depth(path)), lambda n: F.call_function("substring_index", path, F.lit("/"), n))
 
 
 def fold_dots(path: Column) -> Column:

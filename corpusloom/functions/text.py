@@ -132,8 +132,8 @@ def trim_lines(text: Column) -> Column:
     return F.btrim(per_line, F.lit(WHITESPACE))
 
 
-def line_numbers(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
+def line_numbers(lines: Column) -> Column:
+    """Numbered text of a column that holds the lines; it is used twice, so it should not be a split."""
     width = F.length(F.size(lines).cast("string"))
     numbered = F.transform(
         lines, lambda line, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(" | "), line)

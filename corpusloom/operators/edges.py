@@ -47,14 +47,15 @@ def scripts(files: DataFrame) -> DataFrame:
 
 def edges_raw(files: DataFrame) -> DataFrame:
     """(project, src, kind, ord, form, spec, type_only, clause) of every import in every script."""
-    # The token list feeds a generator and a filter on its size; as its own column it is built once.
     tokens = scripts(files).select(
         "project", F.col("path").alias("src"), import_tokens(read_text(F.col("content"))).alias("_found"))
     token = F.col("_token")
     clause = F.regexp_extract(token, r"(?s)\Aimport\b\s*(.*?)\s*\bfrom\s*['\"]", 1)
     form = (F.when(F.startswith(token, F.lit("require")), "require")
             .when(F.rlike(token, F.lit(r"\Aimport\s*\(")), "dynamic").otherwise("import"))
-    return tokens.select("project", "src", F.posexplode("_found").alias("_pos", "_token")).select(
+    # The outer form, or Spark would test the size of the list first and build it twice.
+    listed = tokens.select("project", "src", F.posexplode_outer("_found").alias("_pos", "_token"))
+    return listed.where("_token is not null").select(
         "project", "src",
         F.when(form == "import", IMPORT).otherwise(CALL).alias("kind"),
         F.col("_pos").cast("long").alias("ord"),
@@ -89,7 +90,8 @@ def module_keys(files: DataFrame) -> DataFrame:
             # An import of x.js may mean x.ts.
             names += [named(fits, F.concat(without(end), F.lit(js)), i) for js in _JS_ENDS]
     present = F.filter(F.array(*names), lambda n: n.isNotNull())
-    return files.where(known).select("project", path.alias("dst"), F.explode(present).alias("_n")).select(
+    # (the outer form again; a known file has at least its own name)
+    return files.where(known).select("project", path.alias("dst"), F.explode_outer(present).alias("_n")).select(
         "project", F.col("_n.key").alias("key"), F.col("_n.rank").alias("rank"), "dst")
 
 
@@ -197,18 +199,18 @@ def module_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     marked = spread_join(marked, nest, ["project"], "inner", "src")
     props = marked.select(
         "project", "src", "_text",
-        F.posexplode(F.regexp_extract_all("_text", F.lit(r"@Module\s*\(\s*\{[\s\S]*?\}\s*\)"), F.lit(0)))
+        F.posexplode_outer(F.regexp_extract_all("_text", F.lit(r"@Module\s*\(\s*\{[\s\S]*?\}\s*\)"), F.lit(0)))
         .alias("_at", "_call")).select(
         "project", "src", "_at",
         F.regexp_extract_all("_text", F.lit(r"\b(?:class|function|const|let|var)\s+([\w$]+)"), F.lit(1))
         .alias("_declared"),
-        F.posexplode(F.regexp_extract_all(
+        F.posexplode_outer(F.regexp_extract_all(
             "_call", F.lit(r"\b(?:" + "|".join(_MODULE_PROPS) + r")\s*:\s*\[[^\]]*\]"), F.lit(0)))
         .alias("_prop_at", "_prop"))
     names = props.select(
         "project", "src", "_declared", "_at", "_prop_at",
         F.regexp_extract("_prop", r"\A(\w+)", 1).alias("prop"),
-        F.posexplode(F.split(F.regexp_extract("_prop", r"\[([^\]]*)\]", 1), ",")).alias("_name_at", "_name")
+        F.posexplode_outer(F.split(F.regexp_extract("_prop", r"\[([^\]]*)\]", 1), ",")).alias("_name_at", "_name")
     ).select(
         "project", "src", "_declared", "prop",
         (F.col("_at") * 1_000_000_000 + F.col("_prop_at") * 1_000_000 + F.col("_name_at")).cast("long").alias("ord"),

@@ -30,7 +30,8 @@ def clean(files: DataFrame, fmt) -> DataFrame:
         files = files.withColumn("_text", text.collapse_blank(F.col("_text")))
     files = files.withColumn("_text", text.trim_lines(F.col("_text")))
     if fmt.line_numbers:
-        files = files.withColumn("_text", text.line_numbers(F.col("_text")))
+        files = files.withColumn("_lines", F.split("_text", "\n", -1)).withColumn(
+            "_text", text.line_numbers(F.col("_lines"))).drop("_lines")
     return files
 
 

@@ -24,9 +24,11 @@ def merged_ranges(ranges: Column) -> Column:
     return F.aggregate(sorted_ranges, empty, add)
 
 
-def slice_lines(text: Column, ranges: Column) -> Column:
-    """Lines of the 0-based inclusive ranges, with a marker for each gap and for the tail."""
-    lines = F.split(text, "\n", -1)
+def slice_lines(lines: Column, ranges: Column) -> Column:
+    """Lines of the 0-based inclusive ranges, with a marker for each gap and for the tail.
+
+    lines should be a column that holds the split text: it is used several times.
+    """
     count = F.size(lines)
     inside = F.filter(ranges, lambda r: r["start"] < count)
     merged = merged_ranges(F.transform(inside, lambda r: F.struct(
@@ -50,24 +52,36 @@ def slice_lines(text: Column, ranges: Column) -> Column:
 _STRINGS = r""""[^"]*"|'[^']*'|`[^`]*`"""
 
 
+def _down():
+    return Window.partitionBy("project", "path").orderBy("line").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+
+
+def _up():
+    """From the end of the file to here; a frame that ends at the current row takes linear time."""
+    return Window.partitionBy("project", "path").orderBy(F.desc("line")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+
+
 def code_lines(files: DataFrame) -> DataFrame:
-    """(project, path, line, code): numbered lines without comments and with empty strings.
+    """(project, path, line, code): lines that hold code, without comments and with empty strings.
 
     The windows run over the lines of one file, whose size the size filter bounds.
     """
-    lines = files.select("project", "path", F.posexplode(F.split(read_text(F.col("content")), "\n", -1))
+    lines = files.select("project", "path", F.posexplode_outer(F.split(read_text(F.col("content")), "\n", -1))
                          .alias("line", "raw"))
     no_escapes = F.regexp_replace("raw", r"\\.", "")
     no_comments = F.regexp_replace(no_escapes, f"({_STRINGS})|//.*|/\\*.*?\\*/", "$1")
     marked = lines.withColumn("_bare", F.regexp_replace(no_comments, _STRINGS, '""'))
     # What is left opens or closes a block comment of several lines.
     mark = F.when(F.contains("_bare", F.lit("/*")), 1).when(F.contains("_bare", F.lit("*/")), 0)
-    before = F.last(mark, ignorenulls=True).over(_file_lines().rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(mark, ignorenulls=True).over(Window.partitionBy("project", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
     inside = F.coalesce(before, F.lit(0)) == 1
     visible = F.when(inside, F.when(F.contains("_bare", F.lit("*/")), F.regexp_replace("_bare", r"^.*?\*/", ""))
                      .otherwise(F.lit(""))).otherwise(F.col("_bare"))
     return marked.withColumn("_code", visible).select(
-        "project", "path", "line", F.regexp_replace("_code", r"/\*.*$", "").alias("code"))
+        "project", "path", "line", F.regexp_replace("_code", r"/\*.*$", "").alias("code")
+    ).where(F.rlike("code", F.lit(r"\S")))
 
 
 _HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?"
@@ -77,104 +91,99 @@ _METHOD = (r"^\s*(?:(?:public|private|protected|static|async|override|readonly|a
 _NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "function", "constructor", "super", "new")
 
 
-def _file_lines():
-    return Window.partitionBy("project", "path").orderBy("line")
-
-
-def _up_to_here():
-    return _file_lines().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
+def _statement_ends(level: int) -> Column:
+    """A line after which a new statement begins at a brace level."""
+    code = F.col("code")
+    here = (F.col("_before") == level) & (F.col("_after") == level)
+    return (
+        (F.rlike(code, F.lit(r"[;}]\s*$")) & (F.col("_after") <= level))
+        | ((F.col("_before") < level) & (F.col("_after") == level))
+        | (here & ~F.col("_decorator") & ~F.rlike(code, F.lit(r"[,(]\s*$|^\s*\)")))
+    )
 
-def _from_here():
-    return _file_lines().rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
+def _declared(test: Column, kind: str, level: int, class_name: Column, name: Column) -> Column:
+    start = F.when(F.col(f"_decor{level}") >= 0, F.col(f"_decor{level}")).otherwise(F.col("line"))
+    return F.when(test, F.struct(
+        F.lit(kind).alias("kind"), class_name.alias("class_name"), name.alias("name"),
+        start.cast("int").alias("start"), F.coalesce(F.col(f"_end{level}"), F.col("line")).cast("int").alias("end")))
 
-def nested_lines(code: DataFrame) -> DataFrame:
-    """code plus the brace depth before and after each line."""
-    net = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    return code.withColumn("_net", net).withColumn("_after", F.sum("_net").over(_up_to_here())).withColumn(
-        "_before", F.col("_after") - F.col("_net"))
 
+def declarations(code: DataFrame) -> DataFrame:
+    """(project, path, kind, class_name, name, start, end): imports, classes, functions, methods.
 
-def _spans(lines: DataFrame, level: int, class_name: Column, name: Column) -> DataFrame:
-    """Declarations that open at a brace level; lines with an empty _decl declare nothing."""
-    code, here = F.col("code"), (F.col("_before") == level) & (F.col("_after") == level)
-    decorator = F.rlike(code, F.lit(r"^\s*@[A-Za-z]"))
-    # A run of lines ends with a statement; decorators at its start belong to the declaration.
-    ends = (
-        (F.rlike(code, F.lit(r"[;}]\s*$")) & (F.col("_after") <= level))
-        | ((F.col("_before") < level) & (F.col("_after") == level))
-        | (here & ~decorator & F.rlike(code, F.lit(r"\S")) & ~F.rlike(code, F.lit(r"[,(]\s*$|^\s*\)")))
+    Classes and functions are those at the top of the file. A class has no `name`, a function
+    no `class_name`. Spans come from balancing braces: a close reading of the text, not a parse.
+    Decorators above a declaration belong to it. All windows share one shuffle by file.
+    """
+    line, text, before, after = F.col("line"), F.col("code"), F.col("_before"), F.col("_after")
+    net = F.regexp_count(text, F.lit(r"\{")) - F.regexp_count(text, F.lit(r"\}"))
+    lines = code.withColumn("_net", net).withColumn("_after", F.sum("_net").over(_down())).withColumn(
+        "_before", after - F.col("_net"))
+    top = before == 0
+    continues = F.rlike(text, F.lit(r"^\s*(?:extends\b|implements\b|\{|,)"))
+    lines = (
+        lines.withColumn("_decorator", F.rlike(text, F.lit(r"^\s*@[A-Za-z]")))
+        .withColumn("_class", F.when(top, F.regexp_extract(text, _HEAD + r"class\s+([\w$]+)", 1)).otherwise(""))
+        .withColumn("_function", F.when(top, F.regexp_extract(
+            text, _HEAD + r"(?:async\s+)?function\s*\*?\s*([\w$]+)", 1)).otherwise(""))
+        .withColumn("_method", F.when(before == 1, F.regexp_extract(text, _METHOD, 1)).otherwise(""))
+        # The class around a line: the last one at the top, until another top-level statement.
+        .withColumn("_owner", F.coalesce(F.last(F.when(top & ((F.col("_class") != "") | ~continues), F.col("_class")),
+                                                ignorenulls=True).over(_down()), F.lit("")))
+        .withColumn("_ends0", _statement_ends(0)).withColumn("_ends1", _statement_ends(1))
     )
-    runs = lines.withColumn("_ends", ends).withColumn(
-        "_run", F.sum(F.coalesce(F.lag("_ends").over(_file_lines()), F.lit(True)).cast("int")).over(_up_to_here()))
-    in_run = Window.partitionBy("project", "path", "_run").orderBy("line").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    closes = (F.col("_after") == level) & F.rlike(code, F.lit(r"\}|;\s*$"))
-    return (
-        runs.withColumn("_start", F.min(F.when(decorator & (F.col("_before") == level), F.col("line"))).over(in_run))
-        .withColumn("_end", F.min(F.when(closes, F.col("line"))).over(_from_here()))
-        .where(F.coalesce("_decl", F.lit("")) != "")
-        .select("project", "path", class_name.alias("class_name"), name.alias("name"),
-                F.coalesce("_start", "line").cast("int").alias("start"),
-                F.coalesce("_end", "line").cast("int").alias("end"))
+    order = Window.partitionBy("project", "path").orderBy("line")
+    for level in (0, 1):
+        # The line of the decorator that opens the current statement, or -1.
+        begins = F.coalesce(F.lag(f"_ends{level}").over(order), F.lit(True))
+        lines = lines.withColumn("_begins", begins).withColumn(
+            f"_decor{level}",
+            F.last(F.when(F.col("_begins"), F.when(F.col("_decorator") & (before == level), line).otherwise(-1)),
+                   ignorenulls=True).over(_down()))
+    closes = F.rlike(text, F.lit(r"\}|;\s*$"))
+    for level in (0, 1):
+        lines = lines.withColumn(f"_end{level}", F.last(F.when((after == level) & closes, line), ignorenulls=True).over(_up()))
+    lines = lines.withColumn("_quote", F.last(F.when(F.contains(text, F.lit('""')), line), ignorenulls=True).over(_up()))
+    imports = top & F.rlike(text, F.lit(r"^\s*import\b(?!\s*\(|\s+[\w$]+\s*=)"))
+    none = F.lit("")
+    found = F.array(
+        F.when(imports, F.struct(
+            F.lit("import").alias("kind"), none.alias("class_name"), none.alias("name"),
+            line.cast("int").alias("start"), F.coalesce("_quote", line).cast("int").alias("end"))),
+        _declared(F.col("_class") != "", "class", 0, F.col("_class"), none),
+        _declared(F.col("_function") != "", "function", 0, none, F.col("_function")),
+        _declared((F.col("_method") != "") & (F.col("_owner") != "") & ~F.col("_method").isin(*_NOT_METHODS),
+                  "method", 1, F.col("_owner"), F.col("_method")),
     )
+    return lines.select("project", "path", F.explode_outer(F.filter(found, lambda d: d.isNotNull())).alias("_d")).where(
+        "_d is not null").select("project", "path", "_d.*")
 
 
-def declarations(nested: DataFrame) -> DataFrame:
-    """(project, path, class_name, name, start, end): classes, top-level functions, and methods.
-
-    A class has no `name`; a function has no `class_name`. Spans come from balancing braces:
-    a close reading of the text, not a parse.
-    """
-    code, top = F.col("code"), F.col("_before") == 0
-    a_class = F.regexp_extract(code, _HEAD + r"class\s+([\w$]+)", 1)
-    a_function = F.regexp_extract(code, _HEAD + r"(?:async\s+)?function\s*\*?\s*([\w$]+)", 1)
-    a_method = F.regexp_extract(code, _METHOD, 1)
-    continues = F.rlike(code, F.lit(r"^\s*(?:extends\b|implements\b|\{|,|$)"))
-    # The class around a line: the last one at the top, until another top-level statement.
-    owner = F.last(F.when(top & ((a_class != "") | ~continues), a_class), ignorenulls=True).over(_up_to_here())
-    lines = nested.withColumn("_owner", F.coalesce(owner, F.lit("")))
-    classes = _spans(lines.withColumn("_decl", F.when(top, a_class)), 0, F.col("_decl"), F.lit(""))
-    functions = _spans(lines.withColumn("_decl", F.when(top, a_function)), 0, F.lit(""), F.col("_decl"))
-    methods = _spans(lines.withColumn("_decl", F.when(
-        (F.col("_before") == 1) & (F.col("_owner") != "") & ~a_method.isin(*_NOT_METHODS), a_method)),
-        1, F.col("_owner"), F.col("_decl"))
-    return classes.unionByName(functions).unionByName(methods)
-
-
-def import_ranges(nested: DataFrame) -> DataFrame:
-    """(project, path, start, end): an import statement ends on the first line with a string."""
-    opens = (F.col("_before") == 0) & F.rlike("code", F.lit(r"^\s*import\b(?!\s*\(|\s+[\w$]+\s*=)"))
-    end = F.min(F.when(F.contains("code", F.lit('""')), F.col("line"))).over(_from_here())
-    return nested.withColumn("_end", end).where(opens).select(
-        "project", "path", F.col("line").cast("int").alias("start"),
-        F.coalesce("_end", "line").cast("int").alias("end"))
-
-
-def matched_symbols(decls: DataFrame, symbols) -> DataFrame:
-    """Declarations named by Class, Class.method or function. A function is compared by the part
-    before the dot only; of several methods of one name the first counts."""
+def wanted_symbols(symbols) -> Column:
+    """Declarations named by Class, Class.method or function; a function is compared by the part
+    before the dot only."""
     wanted = F.lit(False)
     for symbol in symbols:
         owner, _, member = symbol.partition(".")
         member = member.split(".")[0]
         wanted = wanted | ((F.col("class_name") == owner) & (F.col("name") == member)) | (
-            (F.col("class_name") == "") & (F.col("name") == owner))
-    return (
-        decls.where(wanted).groupBy("project", "path", "class_name", "name")
-        .agg(F.min(F.struct("start", "end")).alias("_r"))
-        .select("project", "path", "class_name", "name", "_r.start", "_r.end")
-    )
+            (F.col("kind") == "function") & (F.col("name") == owner))
+    return (F.col("kind") != "import") & wanted
 
 
 def slice_symbols(files: DataFrame, symbols) -> DataFrame:
     """(project, path, sliced) for the files that declare one of the symbols; others have no row."""
-    nested = nested_lines(code_lines(files))
-    named = matched_symbols(declarations(nested), symbols).select("project", "path", "start", "end")
-    kept = named.unionByName(import_ranges(nested).join(
-        named.select("project", "path").distinct(), ["project", "path"], "left_semi"))
-    # A list of ranges per file: bounded by the lines of that file.
-    ranges = kept.groupBy("project", "path").agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
-    return files.select("project", "path", "content").join(ranges, ["project", "path"]).select(
-        "project", "path", slice_lines(read_text(F.col("content")), F.col("_ranges")).alias("sliced"))
+    is_import = F.col("kind") == "import"
+    # Of several methods of one name the first counts; every import counts.
+    each = F.when(is_import, F.col("start")).otherwise(-1).alias("_each")
+    # All groups below are groups of lines of one file, in the shuffle that the windows made.
+    ranges = (
+        declarations(code_lines(files)).where(is_import | wanted_symbols(symbols))
+        .groupBy("project", "path", "kind", "class_name", "name", each).agg(F.min(F.struct("start", "end")).alias("_r"))
+        .groupBy("project", "path").agg(F.collect_list("_r").alias("_ranges"), F.max(~is_import).alias("_any"))
+        .where("_any")
+    )
+    lines = F.split(read_text(F.col("content")), "\n", -1)
+    return files.select("project", "path", lines.alias("_lines")).join(ranges, ["project", "path"]).select(
+        "project", "path", slice_lines(F.col("_lines"), F.col("_ranges")).alias("sliced"))

@@ -23,7 +23,7 @@ def tree_nodes(files: DataFrame, keys: list[str]) -> DataFrame:
     folders = paths.select(*keys, parent_dir(F.col("path")).alias("dir")).where("dir <> ''").distinct()
     nodes = (
         paths.select(*keys, F.col("path").alias("node"))
-        .unionByName(folders.select(*keys, F.explode(prefixes(F.col("dir"))).alias("node")))
+        .unionByName(folders.select(*keys, F.explode_outer(prefixes(F.col("dir"))).alias("node")))
         .distinct()
         .withColumn("parent", parent_dir(F.col("node")))
         .withColumn("name", base_name(F.col("node")))
@@ -31,7 +31,7 @@ def tree_nodes(files: DataFrame, keys: list[str]) -> DataFrame:
     last = nodes.groupBy(*keys, "parent").agg(F.max("name").alias("last_name"))
     # How far the lines below a folder are indented: one flag per level of the folder itself.
     levels = last.where("parent <> ''").select(
-        *keys, F.col("parent").alias("dir"), F.posexplode(prefixes(F.col("parent"))).alias("level", "step"))
+        *keys, F.col("parent").alias("dir"), F.posexplode_outer(prefixes(F.col("parent"))).alias("level", "step"))
     flags = spread_join(
         levels.withColumn("parent", parent_dir(F.col("step"))), last, [*keys, "parent"], "inner", "dir"
     ).select(*keys, "dir", "level", F.when(base_name(F.col("step")) == F.col("last_name"), _LAST_BELOW)

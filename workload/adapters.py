@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sources.files import at_least_parallel
+from corpusloom.staging import stage
 
 _NL = "chr(10)"
 _DOC = "lpad(cast(doc_id as string), 7, '0')"
@@ -131,4 +132,5 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir, GRAPH, "documents")
+    """Staged, as a files table is: the graph steps read a few of its columns several times."""
+    return stage(files(spark, sf_dir, GRAPH, "documents"))

@@ -287,7 +287,7 @@ def trim_lines(spark, sf_dir):
 @query
 def line_numbers(spark, sf_dir):
     files = _texts(adapters.code(spark, sf_dir))
-    return _digest(files, text.line_numbers(F.col("body")))
+    return _digest(files.withColumn("lines", F.split("body", "\n", -1)), text.line_numbers(F.col("lines")))
 
 
 @query
@@ -463,7 +463,7 @@ def slice_lines(spark, sf_dir):
     """Lines 3 to 5, 5 to 7 and 20 to 22 of every text, with markers for the gaps."""
     files = _texts(adapters.code(spark, sf_dir))
     ranges = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((19, 21), (2, 4), (4, 6))])
-    return _digest(files, slices.slice_lines(F.col("body"), ranges))
+    return _digest(files.withColumn("lines", F.split("body", "\n", -1)), slices.slice_lines(F.col("lines"), ranges))
 
 
 @query
