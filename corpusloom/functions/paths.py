@@ -27,7 +27,7 @@ def base_name(path: Column) -> Column:
 
 def parent_dir(path: Column) -> Column:
     """Folder of a path, '' at the top."""
-    return F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
+    return F.substr(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)
 
 
 def depth(path: Column) -> Column:
@@ -57,9 +57,21 @@ def fold_dots(path: Column) -> Column:
 
 
 def resolve_path(target: Column, base_dir: Column) -> Column:
-    """A target as seen from base_dir; a leading '/' means the project root."""
-    from_base = F.concat_ws("/", base_dir, target)
-    return fold_dots(F.when(F.startswith(target, F.lit("/")), target).otherwise(from_base))
+    """A target as seen from base_dir; a leading '/' means the project root.
+
+    Most targets only have dots in front. These are resolved by cutting base_dir, which stays in
+    generated code; dots further inside take the slower fold.
+    """
+    lead = F.regexp_extract(target, r"\A(?:\.{1,2}/)*", 0)
+    rest = F.substr(target, F.length(lead) + 1)
+    ups = F.length(lead) - F.length(F.replace(lead, F.lit("../"), F.lit("..")))
+    left = F.when(base_dir == "", 0).otherwise(depth(base_dir)) - ups
+    whole = F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat_ws("/", base_dir, target))
+    return (
+        F.when(F.rlike(rest, F.lit(r"(?:\A|/)\.{0,2}(?:/|\z)")), fold_dots(whole))
+        .when(left == 0, rest)
+        .when(left > 0, F.concat(F.call_function("substring_index", base_dir, F.lit("/"), left), F.lit("/"), rest))
+    )
 
 
 def clean_root(root: str) -> str | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,20 @@ _QUOTED = r"""(?:"[^"\n]*"|'[^'\n]*')"""
 # quote costs at most the rest of its line. The look-ahead skips all other characters fast.
 _LEXER = "(?=[/ir'\"])(?:" + "|".join([
     r"//[^\n]*",
-    r"/\*[\s\S]*?\*/",
+    r"/\*(?s:.*?)\*/",
     r"\bimport\s+[\w$]+\s*=\s*require\s*\(\s*" + _QUOTED,
-    r"\bimport(?<![.$]import)\s*\(\s*" + _QUOTED,
-    r"\bimport(?<![.$]import)\b\s*(?:" + _WORD + r"*?\bfrom\s*)?" + _QUOTED,
-    r"\brequire(?<![.$]require)\s*\(\s*" + _QUOTED,
+    "(" + "|".join([
+        r"\bimport(?<![.$]import)\s*\(\s*" + _QUOTED,
+        r"\bimport(?<![.$]import)\b\s*(?:" + _WORD + r"*?\bfrom\s*)?" + _QUOTED,
+        r"\brequire(?<![.$]require)\s*\(\s*" + _QUOTED]) + ")",
     _QUOTED,
 ]) + ")"
 
 
 def import_tokens(text: Column) -> Column:
     """Import statements and calls with a literal target, in text order."""
-    found = F.regexp_extract_all(text, F.lit(_LEXER), F.lit(0))
-    return F.filter(found, lambda t: F.rlike(t, F.lit(r"\A(?:import|require)\b"))
-                    & ~F.rlike(t, F.lit(r"\Aimport\s+[\w$]+\s*=")))
+    # The group is empty for what is only skipped, so no comment is copied.
+    return F.filter(F.regexp_extract_all(text, F.lit(_LEXER), F.lit(1)), lambda t: t != "")
 
 
 def scripts(files: DataFrame) -> DataFrame:
@@ -72,27 +74,26 @@ def module_keys(files: DataFrame) -> DataFrame:
     A file has a handful of names, while an import has a dozen candidate files, so the
     names go on the file side and each import joins on one key.
     """
-    path, ext, name = F.col("path"), extension_lower(F.col("path")), base_name(F.col("path"))
-
-    def without(end: str) -> Column:
-        return F.substr(path, F.lit(1), F.length(path) - len(end))
-
-    def named(test: Column, key: Column, rank: int) -> Column:
-        return F.when(test, F.struct(key.alias("key"), F.lit(rank).alias("rank")))
-
-    known = ext.isin(*SCRIPT_EXTENSIONS, ".json")
-    names = [named(known, path, 5)]
-    for i, end in enumerate(TRIED):
-        fits = F.endswith(path, F.lit(end)) & (F.length(name) > len(end))
-        names.append(named(fits, without(end), 10 + i))
-        names.append(named(fits & (name == "index" + end), parent_dir(path), 30 + i))
-        if end in _TS_ENDS:
-            # An import of x.js may mean x.ts.
-            names += [named(fits, F.concat(without(end), F.lit(js)), i) for js in _JS_ENDS]
-    present = F.filter(F.array(*names), lambda n: n.isNotNull())
-    # (the outer form again; a known file has at least its own name)
-    return files.where(known).select("project", path.alias("dst"), F.explode_outer(present).alias("_n")).select(
-        "project", F.col("_n.key").alias("key"), F.col("_n.rank").alias("rank"), "dst")
+    path, end, stem = F.col("path"), F.col("_end"), F.col("_stem")
+    suffix = r"[^/](\.d\.ts|" + "|".join(re.escape(e) for e in TRIED if e != ".d.ts") + r")\z"
+    rank = F.array_position(F.lit(list(TRIED)), end).cast("int")
+
+    def named(test: Column, key: Column, value: Column) -> Column:
+        return F.when(test, F.struct(key.alias("key"), value.cast("int").alias("rank")))
+
+    names = [
+        named(F.lit(True), path, F.lit(5)),
+        named(end != "", stem, 10 + rank),
+        named(end == ".d.ts", F.concat(stem, F.lit(".d")), F.lit(11)),
+        named((end != "") & (base_name(stem) == "index"), parent_dir(stem), 30 + rank),
+        # An import of x.js may mean x.ts.
+        *[named(end.isin(*_TS_ENDS), F.concat(stem, F.lit(js)), rank) for js in _JS_ENDS],
+    ]
+    known = files.where(extension_lower(path).isin(*SCRIPT_EXTENSIONS, ".json")).select(
+        "project", "path", F.regexp_extract(path, suffix, 1).alias("_end"))
+    return known.withColumn("_stem", F.substr(path, F.lit(1), F.length(path) - F.length(end))).select(
+        "project", path.alias("dst"), F.inline_outer(F.array_compact(F.array(*names)))
+    ).select("project", "key", "rank", "dst")
 
 
 def path_aliases(files: DataFrame) -> DataFrame:
@@ -102,50 +103,52 @@ def path_aliases(files: DataFrame) -> DataFrame:
     parsed = F.from_json(
         F.regexp_replace(bare, r",(\s*[}\]])", "$1"),
         "struct<compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>>")
-    options = parsed["compilerOptions"]
+    options = F.col("_o")
     base = F.coalesce(options["baseUrl"], F.lit("."))
+
+    def alias(key: Column, targets: Column) -> Column:
+        starred = F.contains(key, F.lit("*"))
+        return F.struct(
+            F.substring_index(key, "*", 1).alias("head"),
+            F.when(starred, F.substring_index(key, "*", -1)).otherwise("").alias("tail"),
+            starred.alias("starred"),
+            F.transform(targets, lambda t: F.concat_ws("/", base, t)).alias("targets"))
+
     listed = F.transform(
         F.map_entries(F.coalesce(options["paths"], F.create_map().cast("map<string,array<string>>"))),
-        lambda e: F.struct(e["key"].alias("alias"), e["value"].alias("targets")))
-    fallback = F.when(options["baseUrl"].isNotNull(), F.array(F.struct(
-        F.lit("*").alias("alias"), F.array(F.lit("*")).alias("targets")))).otherwise(
-        F.array().cast("array<struct<alias: string, targets: array<string>>>"))
-    return files.where("path = 'tsconfig.json'").select(
-        "project", base.alias("_base"), F.concat(listed, fallback).alias("_aliases"))
+        lambda e: alias(e["key"], e["value"]))
+    anywhere = F.array(alias(F.lit("*"), F.array(F.lit("*"))))
+    return files.where("path = 'tsconfig.json'").select("project", parsed["compilerOptions"].alias("_o")).select(
+        "project", F.when(options["baseUrl"].isNotNull(), F.concat(listed, anywhere)).otherwise(listed).alias("_aliases"))
 
 
 def candidates(raw: DataFrame, files: DataFrame) -> DataFrame:
     """raw plus one row per (step, key) to look up; lower steps win."""
-    relative = F.rlike("spec", F.lit(r"\A\.{1,2}(?:/|\z)|\A/"))
-    near = raw.where(relative).select("*", F.lit(0).alias("step"), resolve_path(
-        F.col("spec"), parent_dir(F.col("src"))).alias("key"))
-    bare = raw.where(~relative & (F.col("spec") != ""))
-    # Aliases of the compiler settings, longest prefix first.
-    aliased = spread_join(bare, path_aliases(files), ["project"], "inner", "src").select(
-        *raw.columns, "_base", F.explode("_aliases").alias("_a"))
-    head = F.substring_index("_a.alias", "*", 1)
-    tail = F.when(F.contains("_a.alias", F.lit("*")), F.substring_index("_a.alias", "*", -1)).otherwise("")
-    starred = F.contains(F.col("_a.alias"), F.lit("*"))
-    fits = F.when(
-        starred, F.startswith(F.col("spec"), head) & F.endswith(F.col("spec"), tail)
-        & (F.length("spec") >= F.length(head) + F.length(tail))).otherwise(F.col("spec") == F.col("_a.alias"))
-    star = F.substr(F.col("spec"), F.length(head) + 1, F.length("spec") - F.length(head) - F.length(tail))
-    by_alias = aliased.where(fits).select(
-        *raw.columns, F.posexplode("_a.targets").alias("_t", "_target"),
-        F.when(starred, star).otherwise("").alias("_star"), head.alias("_head"), "_base", starred.alias("_starred")
-    ).select(
-        *raw.columns,
-        (F.when(F.col("_starred"), 1000 - F.least(F.length("_head"), F.lit(900))).otherwise(1) * 100
-         + F.col("_t")).cast("int").alias("step"),
-        fold_dots(F.concat_ws("/", "_base", F.replace("_target", F.lit("*"), F.col("_star")))).alias("key"))
+    spec = F.col("spec")
+    relative = F.rlike(spec, F.lit(r"\A\.{1,2}(?:/|\z)|\A/"))
+    near = F.array(F.struct(F.lit(0).alias("step"), resolve_path(spec, F.col("_dir")).alias("key")))
+
+    def fits(a: Column) -> Column:
+        return F.when(a["starred"], F.startswith(spec, a["head"]) & F.endswith(spec, a["tail"])
+                      & (F.length(spec) >= F.length(a["head"]) + F.length(a["tail"]))).otherwise(spec == a["head"])
+
+    def places(a: Column) -> Column:
+        star = F.substr(spec, F.length(a["head"]) + 1, F.length(spec) - F.length(a["head"]) - F.length(a["tail"]))
+        # An exact alias comes before patterns, a longer prefix before a shorter one.
+        weight = F.when(a["starred"], 1000 - F.least(F.length(a["head"]), F.lit(900))).otherwise(1) * 100
+        return F.transform(a["targets"], lambda t, i: F.struct(
+            (weight + i).cast("int").alias("step"), fold_dots(F.replace(t, F.lit("*"), star)).alias("key")))
+
+    by_alias = F.coalesce(F.flatten(F.transform(F.filter("_aliases", fits), places)),
+                          F.array().cast("array<struct<step: int, key: string>>"))
     # Packages: node_modules of the nearest folder first.
-    folder = parent_dir(F.col("src"))
-    above = F.when(folder == "", F.array(F.lit(""))).otherwise(
-        F.concat(F.array(F.lit("")), F.transform(prefixes(folder), lambda p: F.concat(p, F.lit("/")))))
-    packaged = bare.select(*raw.columns, F.posexplode(F.reverse(above)).alias("_up", "_dir")).select(
-        *raw.columns, (F.lit(200_000) + F.col("_up")).cast("int").alias("step"),
-        F.concat(F.col("_dir"), F.lit("node_modules/"), F.col("spec")).alias("key"))
-    return near.unionByName(by_alias).unionByName(packaged).where("key is not null")
+    above = F.reverse(F.concat(F.array(F.lit("")), F.when(F.col("_dir") == "", F.array().cast("array<string>")).otherwise(
+        F.transform(prefixes(F.col("_dir")), lambda p: F.concat(p, F.lit("/"))))))
+    packaged = F.transform(above, lambda d, i: F.struct(
+        (F.lit(200_000) + i).cast("int").alias("step"), F.concat(d, F.lit("node_modules/"), spec).alias("key")))
+    placed = spread_join(raw.withColumn("_dir", parent_dir(F.col("src"))), path_aliases(files), ["project"], "left", "src")
+    return placed.where(spec != "").select(
+        *raw.columns, F.inline_outer(F.when(relative, near).otherwise(F.concat(by_alias, packaged))))
 
 
 def resolve(raw: DataFrame, files: DataFrame) -> DataFrame:
