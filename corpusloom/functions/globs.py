@@ -191,9 +191,8 @@ def excluded(path: Column, patterns, root: str = "") -> Column:
         prefixes(below), lambda p: F.concat(F.lit(root + "/"), p))
     if wholes and root != "":
         tests.append(F.exists(steps, lambda p: F.rlike(p, F.lit(_full(wholes)))))
-    for g in globs:
-        if g.negated:
-            tests.append(F.exists(steps, lambda p, rx=g.regex: ~F.rlike(p, F.lit(_full([rx])))))
+    for unlike in [F.lit(_full([g.regex])) for g in globs if g.negated]:
+        tests.append(F.exists(steps, lambda p: ~F.rlike(p, unlike)))
     return _any(tests)
 
 

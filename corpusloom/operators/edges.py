@@ -98,8 +98,8 @@ def module_keys(files: DataFrame) -> DataFrame:
 
 def path_aliases(files: DataFrame) -> DataFrame:
     """(project, aliases) from compilerOptions.paths and baseUrl of the root tsconfig.json."""
-    bare = F.regexp_replace(F.regexp_replace(
-        read_text(F.col("content")), r"/\*[^*/][\s\S]*?\*/", ""), r"(?m)^\s*//[^\n]*", "")
+    # Comments and trailing commas are allowed there; a string may well hold /* or //.
+    bare = F.regexp_replace(read_text(F.col("content")), r'("[^"\n]*")|//[^\n]*|/\*(?s:.*?)\*/', "$1")
     parsed = F.from_json(
         F.regexp_replace(bare, r",(\s*[}\]])", "$1"),
         "struct<compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>>")
