@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 
 from workload.queries import QUERIES
 
-HEADLINE = ["scan_full", "dedup_first", "sizes", "strip_html", "export_totals", "pack_parts", "tree_lines",
-            "manifest_rows", "export_split", "export_multi", "edges_resolved", "closure_bfs", "topo_order",
+HEADLINE = ["scan_full", "dedup_first", "sizes", "strip_html", "export_totals", "pack_parts", "tree",
+            "manifest", "export_split", "export_multi", "edges", "closure_bfs", "topo_order",
             "slice_symbols"]
 
 

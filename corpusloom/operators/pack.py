@@ -32,9 +32,10 @@ def _first_start(ends: np.ndarray, fill: int, budget: int) -> int:
 
 
 def _steps(chunk: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Row e: if the first new part starts at file e, the fill level and parts opened at the end.
+    """Fill level at the end and parts opened, by the file e at which the first new part starts.
 
-    That happens for fill levels whose free room is below fits, the tokens up to and with file e.
+    A part is started at or before e by every fill level whose free room is below fits, the
+    tokens up to and with file e.
     """
     ends = chunk.sort_values("_seq")["tokens"].to_numpy().cumsum()
     nxt = _next_starts(ends, budget)
@@ -51,9 +52,12 @@ def _steps(chunk: pd.DataFrame, budget: int) -> pd.DataFrame:
                 fill[i], opened[i] = total - (ends[i - 1] if i else 0), 1
             else:
                 fill[i], opened[i] = fill[nxt[i]], opened[nxt[i]] + 1
+    # Different starts soon meet at the same cut, so neighbours mostly end alike: one row for each run.
+    fill, opened = fill[:entries], opened[:entries]
+    run_end = np.append((np.diff(fill) != 0) | (np.diff(opened) != 0), True)
     return pd.DataFrame({
         "project": chunk["project"].iloc[0], "_chunk": chunk["_chunk"].iloc[0], "total": total,
-        "fits": ends[:entries], "fill": fill[:entries], "opened": opened[:entries]})
+        "fits": ends[:entries][run_end], "fill": fill[run_end], "opened": opened[run_end]})
 
 
 def _chain(steps: pd.DataFrame, budget: int) -> pd.DataFrame:

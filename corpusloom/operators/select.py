@@ -14,6 +14,7 @@ from corpusloom.functions import globs, paths
 from corpusloom.functions.ignore import ignored, parse_rules
 from corpusloom.functions.text import read_text
 from corpusloom.operators.ordering import spread_join
+from corpusloom.staging import stage
 from corpusloom.spec import DependencyScan, Filters, FolderScan, FullScan, PatternScan
 
 # Fixed value: bytes looked at for a NUL.
@@ -40,8 +41,22 @@ def ignore_rules(files: DataFrame) -> DataFrame:
         "project", parse_rules(read_text(F.col("content"))).alias("_runs"))
 
 
+# Rule tables of up to this many projects join without salt; Spark broadcasts them if
+# their file size allows.
+SMALL_RULES = 200_000
+
+
 def with_ignored(files: DataFrame) -> DataFrame:
-    joined = spread_join(files, ignore_rules(files), ["project"], "left")
+    """files plus _ignored.
+
+    The rules are staged first. With their true size known Spark can choose a broadcast at
+    once, and the contents are not shuffled; beyond that the join is spread over salts.
+    """
+    rules = stage(ignore_rules(files))
+    if rules.count() <= SMALL_RULES:
+        joined = files.join(rules, ["project"], "left")
+    else:
+        joined = spread_join(files, rules, ["project"], "left")
     return joined.withColumn("_ignored", ignored(F.col("path"), F.col("_runs"))).drop("_runs")
 
 

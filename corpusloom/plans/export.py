@@ -11,11 +11,11 @@ from corpusloom.functions.text import tokens_of_length, utf16_length
 from corpusloom.operators import closure, edges, groups, manifest, pack, tree
 from corpusloom.operators.ordering import in_chunks, path_order, positions, spread_join
 from corpusloom.operators.process import process
-from corpusloom.operators.select import collect_files
+from corpusloom.operators.select import collect_files, size_within
 from corpusloom.operators.slices import slice_symbols
 from corpusloom.plans.sinks import terminated, write_rows
 from corpusloom.spec import DependencyScan, ExportSpec
-from corpusloom.staging import stage
+from corpusloom.staging import stage, staged_tables
 
 MANIFEST, TREE, FILE = 0, 1, 2
 
@@ -38,7 +38,8 @@ def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
     chosen = collect_files(files, scans, spec.filters, closures)
     for i, scan in dependent:
         if scan.symbols:
-            cut = stage(slice_symbols(files.where(F.col("path") == scan.entry), scan.symbols))
+            entry = files.where((F.col("path") == scan.entry) & size_within(F.col("size"), spec.format.max_file_kb))
+            cut = stage(slice_symbols(entry, scan.symbols))
             chosen = chosen.join(cut.select("project", "path", F.lit(i).alias("strategy_idx"),
                                             F.col("sliced").alias("_cut")),
                                  ["project", "path", "strategy_idx"], "left")
@@ -181,7 +182,11 @@ def preview_text(files: DataFrame, spec: ExportSpec, project: str, max_chars: in
 
 
 def export(spark: SparkSession, files: DataFrame, spec: ExportSpec, target: str, names=None) -> DataFrame:
-    """Write every output file below target and return the summary per project."""
-    m = measure(files, spec, names)
-    write_rows(placed_rows(m, spec), spec.format.separator, target)
-    return summary(m)
+    """Write every output file below target and return the summary per project.
+
+    The intermediate tables are removed at the end; the summary is kept.
+    """
+    with staged_tables(spark) as keep:
+        m = measure(files, spec, names)
+        write_rows(placed_rows(m, spec), spec.format.separator, target)
+        return keep(summary(m))

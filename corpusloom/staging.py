@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_open_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,5 +32,29 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     target = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    for scope in _open_scopes:
+        scope.append(target)
     df.write.option("compression", "zstd").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+@contextmanager
+def staged_tables(spark: SparkSession):
+    """Remove the tables staged inside the block when it ends; yields stage() for those to keep."""
+    scope: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        table = stage(df)
+        kept.append(scope[-1])
+        return table
+
+    _open_scopes.append(scope)
+    try:
+        yield keep
+    finally:
+        _open_scopes.remove(scope)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in set(scope) - set(kept):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)

@@ -308,15 +308,15 @@ def oracle_sql() -> dict[str, str]:
             "select project, path, ord, tokens, part from packed", recursive=True),
         "part_names": _with(*_STAGES, _packed("ordered", _START),
                             f"select project, path, ord, part, {_PART} as file_name from packed", recursive=True),
-        "tree_lines": _with(_T, _tree("talks", "project"), """select project,
+        "tree": _with(_T, _tree("talks", "project"), """select project,
             row_number() over (partition by project order by parts) as line_no, line from tree"""),
-        "manifest_rows": _with(_C, _CHOSEN, _WRAPPED, _CODE_MANIFEST, "select project, seq, text from manifest"),
+        "manifest": _with(_C, _CHOSEN, _WRAPPED, _CODE_MANIFEST, "select project, seq, text from manifest"),
         "export_split": _with(*_STAGES, _packed("ordered", _START), f"""
             select project, {_BASE} as file_name, section, seq, step, text from preamble union all
             select p.project, {_PART}, 2, p.ord, '', o.text from packed p join ordered o using (project, path)""", recursive=True),
         "edges_raw": _with(_G, _RAW, """select project, src, case when form = 'import' then 0 else 1 end as kind, ord, form, spec,
             type_only from raw"""),
-        "edges_resolved": _with(_G, _RAW, _RESOLVED, "select project, src, dst, kind, ord, reason from resolved"),
+        "edges": _with(_G, _RAW, _RESOLVED, "select project, src, dst, kind, ord, reason from resolved"),
         "edges_no_types": _with(_G, _RAW, _RESOLVED, """select project, src, dst, kind, ord, reason from resolved
             where not type_only and dst not like 'node_modules/%'"""),
         "edges_modules": _with(*_GRAPH, "select project, src, dst, spec, reason from modules"),

@@ -43,7 +43,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name; a final underscore avoids the name of a module."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -360,12 +361,12 @@ def part_names(spark, sf_dir):
 
 
 @query
-def tree_lines(spark, sf_dir):
+def tree_(spark, sf_dir):
     return tree.tree_lines(adapters.talks(spark, sf_dir), ["project"])
 
 
 @query
-def manifest_rows(spark, sf_dir):
+def manifest_(spark, sf_dir):
     m = plan.measure(adapters.code(spark, sf_dir), SPEC)
     heads = plan._heads(m.ordered, ["project"], F.col("project"), m.projects)
     return manifest.manifest_rows(m.ordered, ["project"], heads, SPEC.iso_ts, [s.name for s in SPEC.strategies])
@@ -413,7 +414,7 @@ def edges_raw(spark, sf_dir):
 
 
 @query
-def edges_resolved(spark, sf_dir):
+def edges_(spark, sf_dir):
     files = adapters.graph(spark, sf_dir)
     found = edges.keep_edges(edges.import_edges(edges.resolve(edges.edges_raw(files), files)), include_node_modules=True)
     return found.select("project", "src", "dst", "kind", "ord", "reason")
