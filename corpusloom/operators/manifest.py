@@ -16,12 +16,16 @@ _SHORT = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 def json_string(text: Column) -> Column:
     """Quoted JSON string; control characters as \\u00xx in lower case."""
     plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    full = plain
-    for code in range(32):
-        ch = chr(code)
-        full = F.replace(full, F.lit(ch), F.lit(_SHORT.get(ch, f"\\u{code:04x}")))
+    short = F.create_map(*[F.lit(v) for pair in _SHORT.items() for v in pair])
+
+    def escape(ch: Column) -> Column:
+        return F.when((ch != "") & (ch < " "), F.coalesce(
+            F.try_element_at(short, ch), F.concat(F.lit("\\u00"), F.lower(F.hex(ch))))).otherwise(ch)
+
+    # Control characters in names are rare, so only such names are taken apart.
+    escaped = F.array_join(F.transform(F.split(plain, ""), escape), "")
     has_control = F.rlike(text, F.lit(r"[\x00-\x1f]"))
-    return F.concat(F.lit('"'), F.when(has_control, full).otherwise(plain), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(has_control, escaped).otherwise(plain), F.lit('"'))
 
 
 def totals(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def _assign(chunk: pd.DataFrame, budget: int) -> pd.DataFrame:
 
 
 def pack_chunks(chunked: DataFrame, budget: int, preamble: DataFrame | None = None) -> DataFrame:
-    """(project, path, ord, tokens, part) for the ordered files of in_chunks(..., ["project"], ...).
+    """(project, path, ord, tokens, part) for files in chunks and with their positions.
 
     preamble (project, tokens) opens part 1 of its project with that fill level.
     Files carry at least one token each, as wrapped texts do.
@@ -119,7 +119,7 @@ def pack_chunks(chunked: DataFrame, budget: int, preamble: DataFrame | None = No
     chained = steps.groupBy("project").applyInPandas(lambda pdf: _chain(pdf, budget), _STATES)
     states = firsts.unionByName(chained.join(firsts.select(*keys), keys, "left_anti"))
     return (
-        positions(chunked, ["project"]).select(*keys, "_seq", "path", "ord", "tokens")
+        chunked.select(*keys, "_seq", "path", "ord", "tokens")
         .join(states, keys).groupBy(*keys)
         .applyInPandas(lambda pdf: _assign(pdf, budget),
                        "project string, path string, ord long, tokens long, part long")
@@ -128,7 +128,7 @@ def pack_chunks(chunked: DataFrame, budget: int, preamble: DataFrame | None = No
 
 def pack_parts(files: DataFrame, budget: int, order: list[Column], preamble: DataFrame | None = None) -> DataFrame:
     """Parts for files (project, path, tokens, ...) in the given total order."""
-    return pack_chunks(in_chunks(files, ["project"], order), budget, preamble)
+    return pack_chunks(positions(in_chunks(files, ["project"], order), ["project"]), budget, preamble)
 
 
 def part_file_name(template: str, stamp: str, part: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import base_name, parent_dir, prefixes
 from corpusloom.operators.ordering import numbered, spread_join
+from corpusloom.staging import stage
 
 # How branches are drawn.
 _LAST, _MORE = "└── ", "├── "
@@ -28,7 +29,7 @@ def tree_nodes(files: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("parent", parent_dir(F.col("node")))
         .withColumn("name", base_name(F.col("node")))
     )
-    last = nodes.groupBy(*keys, "parent").agg(F.max("name").alias("last_name"))
+    last = stage(nodes.groupBy(*keys, "parent").agg(F.max("name").alias("last_name")))
     # How far the lines below a folder are indented: one flag per level of the folder itself.
     levels = last.where("parent <> ''").select(
         *keys, F.col("parent").alias("dir"), F.posexplode_outer(prefixes(F.col("parent"))).alias("level", "step"))

@@ -50,10 +50,9 @@ def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
 
 @dataclass
 class Measured:
-    """Staged texts, and their narrow ordered rows that all later steps work on."""
+    """Staged texts, and their narrow ordered rows (with _chunk and _seq) that all later steps work on."""
 
     texts: DataFrame
-    chunks: DataFrame
     ordered: DataFrame
     projects: DataFrame
 
@@ -63,7 +62,7 @@ def measure(files: DataFrame, spec: ExportSpec, names=None) -> Measured:
     narrow = texts.select("project", "path", "strategy", "strategy_idx", "topo_pos", "reason",
                           "original_size", "processed_size", "tokens")
     chunks = in_chunks(narrow, ["project"], output_order())
-    return Measured(texts, chunks, positions(chunks, ["project"]), files.select("project").distinct())
+    return Measured(texts, stage(positions(chunks, ["project"])), files.select("project").distinct())
 
 
 def _heads(files: DataFrame, keys: list[str], title, projects: DataFrame | None = None) -> DataFrame:
@@ -108,7 +107,7 @@ def preamble_tokens(preamble: DataFrame, spec: ExportSpec) -> DataFrame:
 
 def split_parts(m: Measured, spec: ExportSpec, preamble: DataFrame | None) -> DataFrame:
     start = None if preamble is None else preamble_tokens(preamble, spec)
-    return pack.pack_chunks(m.chunks, spec.budget.max_tokens or 100_000, start)
+    return pack.pack_chunks(m.ordered, spec.budget.max_tokens or 100_000, start)
 
 
 def _file_rows(texts: DataFrame, placed: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def placed_rows(m: Measured, spec: ExportSpec) -> DataFrame:
     if spec.output.mode == "multi":
         return _multi_rows(m, spec)
     stamp, template = spec.iso_ts, spec.output.file_name
-    heads = _heads(m.ordered, ["project"], F.col("project"), m.projects)
+    heads = stage(_heads(m.ordered, ["project"], F.col("project"), m.projects))
     preamble = preamble_rows(m.ordered, ["project"], heads, spec)
     if preamble is not None:
         preamble = stage(preamble)
@@ -154,8 +153,8 @@ def _multi_rows(m: Measured, spec: ExportSpec) -> DataFrame:
     keys = ["project", "file_name"]
     rows = _file_rows(m.texts, keyed)
     names = keyed.groupBy(*keys).agg(F.first("group_key").alias("group_key"))
-    heads = _heads(keyed, keys, F.lit("")).join(names, keys).withColumn(
-        "title", F.concat("project", F.lit("-"), "group_key"))
+    heads = stage(_heads(keyed, keys, F.lit("")).join(names, keys).withColumn(
+        "title", F.concat("project", F.lit("-"), "group_key")))
     preamble = preamble_rows(keyed, keys, heads, spec)
     return rows if preamble is None else rows.unionByName(preamble)
 
