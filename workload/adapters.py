@@ -88,20 +88,22 @@ from (
     (2 * (doc_id % 64) + 1) % 64 as a, (2 * (doc_id % 64) + 2) % 64 as b,
     (doc_id % 64 + 7) % 64 as c, (5 * (doc_id % 64) + 3) % 64 as e
   from documents) numbered
-union all
-select project, name as path,
-  case name
-    when 'package.json' then chr(123) ||
-      case cast(right(project, 1) as int) % 3
-        when 0 then '"dependencies": ' || chr(123) || '"@nestjs/core": "^10.0.0"' || chr(125)
-        when 1 then '"dependencies": ' || chr(123) || '"@nestjs/core": "1"' || chr(125) || ', "devDependencies": ' ||
-             chr(123) || '"@nestjs/core": "", "react": "18"' || chr(125)
-        else '"name": "plain"' end || chr(125)
-    when 'tsconfig.json' then chr(123) || '"compilerOptions": ' || chr(123) || '"paths": ' || chr(123) ||
-      '"@lib/*": ["src/m0/*"]' || chr(125) || chr(125) || chr(125)
-    else 'export default 1;' end as content
+"""
+
+# One settings file of each kind per graph project: nestjs, react or neither by project number.
+_PACKAGE = """chr(123) ||
+  case cast(right(project, 1) as int) % 3
+    when 0 then '"dependencies": ' || chr(123) || '"@nestjs/core": "^10.0.0"' || chr(125)
+    when 1 then '"dependencies": ' || chr(123) || '"@nestjs/core": "1"' || chr(125) || ', "devDependencies": ' ||
+         chr(123) || '"@nestjs/core": "", "react": "18"' || chr(125)
+    else '"name": "plain"' end || chr(125)"""
+_SETTINGS = """chr(123) || '"compilerOptions": ' || chr(123) || '"paths": ' || chr(123) ||
+  '"@lib/*": ["src/m0/*"]' || chr(125) || chr(125) || chr(125)"""
+for _path, _content in (("package.json", _PACKAGE), ("tsconfig.json", _SETTINGS),
+                        ("node_modules/dep/index.ts", "'export default 1;'")):
+    GRAPH += f"""union all
+select project, '{_path}' as path, {_content} as content
 from (select distinct {_PROJECT} as project from documents) projects
-cross join (select 'package.json' as name union all select 'tsconfig.json' union all select 'node_modules/dep/index.ts') names
 """
 
 ENTRY = "src/m0/f00.ts"
