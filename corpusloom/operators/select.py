@@ -126,7 +126,8 @@ def collect_files(files: DataFrame, scans, filters: Filters, closures=None) -> D
         elif isinstance(scan, DependencyScan):
             closure = closures[i].select(
                 "project", "path", F.col("reason").alias(f"_why{i}"), F.col("topo_pos").alias(f"_topo{i}"))
-            files = files.join(closure, ["project", "path"], "left")
+            # Alone, the closure decides; next to other strategies all files stay in play.
+            files = files.join(closure, ["project", "path"], "inner" if len(scans) == 1 else "left")
             matches = F.col(f"_topo{i}").isNotNull()
             if scan.exclude:
                 matches = matches & ~globs.excluded(F.col("path"), scan.exclude)
