@@ -104,7 +104,7 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             node.children.append(page[at:close.start() if close else n])
             at = close.end() if close else n
-        elif tag not in VOID and not token[3].endswith("/"):
+        elif tag not in VOID:
             here = node
     return root
 

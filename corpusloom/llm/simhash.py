@@ -57,6 +57,8 @@ def _segments(distance: int) -> list[tuple[int, int]]:
 
 
 def _segment(first: int, width: int) -> Column:
+    if width == BITS:
+        return F.col("fp")
     return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 

@@ -1,11 +1,11 @@
-"""Substring dedup: paragraphs cut into units by their content, digests grouped globally, the earliest one stays."""
+"""Substring dedup: lines cut into units by their content, digests grouped globally, the earliest one stays."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,37 +13,36 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.rows import map_slices, octets
 
-# One word in ANCHOR ends a unit, wherever the word stands, so units of a passage do not depend on what is around it.
-ANCHOR = 5
+# Of every ANCHOR_WINDOW neighbouring words the one of least checksum ends a unit. Units inside a passage therefore
+# do not depend on what is around it, but for that many words at its ends.
+ANCHOR_WINDOW = 8
 # Shorter units are not compared; they go with the units on both sides.
 LEAST_UNIT = 3
 # Words of a run of repeated units that is removed, at least.
-LEAST_RUN = 15
+LEAST_RUN = 20
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-def units(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, number of words, digest) of the units of a text, in bytes.
+def units(text: bytes) -> tuple[list[bytes], list[int]]:
+    """(words with A-Z in lower case, where units end): unit k holds words[ends[k - 1]:ends[k]], and no line end."""
+    words: list[bytes] = []
+    ends = []
+    for line in text.lower().split(b"\n"):
+        words += line.split()
+        ends.append(len(words))
+    if len(words) >= ANCHOR_WINDOW:
+        checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        windows = np.lib.stride_tricks.sliding_window_view(checks, ANCHOR_WINDOW)
+        # The rightmost least one: the first from the back.
+        last = ANCHOR_WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
+        ends = np.concatenate([ends, np.arange(len(windows)) + last + 1])
+    return words, np.unique(np.array(ends, np.int64)).tolist()
 
-    A unit lies in one line and ends with an anchor word or with its line. Its digest is that of its
-    words, A-Z in lower case, joined by one blank.
-    """
-    at = 0
-    for line in text.split(b"\n"):
-        words: list[bytes] = []
-        start = end = 0
-        for m in _WORD.finditer(line):
-            word = m[0].lower()
-            if not words:
-                start = m.start()
-            words.append(word)
-            end = m.end()
-            if zlib.crc32(word) % ANCHOR == 0:
-                yield at + start, at + end, len(words), xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-                words = []
-        if words:
-            yield at + start, at + end, len(words), xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-        at += len(line) + 1
+
+def digests(text: bytes) -> list[tuple[int, int, int]]:
+    """(first word, number of words, digest of the words joined by one blank) of every unit of a text."""
+    words, ends = units(text)
+    return [(a, b - a, xxhash.xxh64_intdigest(b" ".join(words[a:b])) - (1 << 63)) for a, b in zip([0, *ends], ends) if b > a]
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
@@ -51,15 +50,15 @@ def unit_digests(docs: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at, nos, digests = [], [], []
+            at, nos, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for no, (_, _, n, digest) in enumerate(units(text)):
+                for no, (_, n, digest) in enumerate(digests(text)):
                     if n >= LEAST_UNIT:
                         at.append(i)
                         nos.append(no)
-                        digests.append(digest)
+                        found.append(digest)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(nos, pa.int32()), pa.array(digests, pa.int64())],
+                [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(nos, pa.int32()), pa.array(found, pa.int64())],
                 ["doc_id", "no", "digest"])
         return each
 
@@ -84,17 +83,17 @@ def repeated_units(docs: DataFrame) -> DataFrame:
 
 def removed_spans(text: bytes, repeated: dict[tuple[int, int], int | None], least_run: int) -> tuple[int, list[tuple[int, int, set]]]:
     """(number of units, spans (start, end, first ids) to remove): runs of repeated units of least_run words
-    or more, with the short units between them. A span runs to the start of the word behind it."""
-    listed = list(units(text))
-    spans: list[tuple[int, int, set]] = []
+    or more, with the short units between them; in bytes, from the first word to the last."""
+    listed = digests(text)
+    runs: list[tuple[int, int, set]] = []
     first = last = None
     words, ids = 0, set()
 
     def close() -> None:
         if first is not None and words >= least_run:
-            spans.append((listed[first][0], listed[last][1], set(ids)))
+            runs.append((listed[first][0], listed[last][0] + listed[last][1] - 1, ids))
 
-    for no, (_, _, n, digest) in enumerate(listed):
+    for no, (_, n, digest) in enumerate(listed if repeated else ()):
         if n >= LEAST_UNIT and (no, digest) in repeated:
             if first is None:
                 first, words, ids = no, 0, set()
@@ -105,7 +104,10 @@ def removed_spans(text: bytes, repeated: dict[tuple[int, int], int | None], leas
             close()
             first = None
     close()
-    return len(listed), spans
+    if not runs:
+        return len(listed), []
+    places = [m.span() for m in _WORD.finditer(text)]
+    return len(listed), [(places[a][0], places[b][1], found) for a, b, found in runs]
 
 
 def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

@@ -1,0 +1,83 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import line_dedup
+from tests.llm.helpers import corpus, frame, text_of
+
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def key_of(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(BLANK))
+
+
+def brute(rows):
+    """Rows (doc_id, text); ids that are None are one document, the last."""
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key_of(line)) >= 10:
+                held[key_of(line)].add((i is None, i or 0))
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key_of(x)) < 10 or min(held[key_of(x)]) == (i is None, i or 0)]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def got(docs, **options):
+    out = line_dedup.dedup_lines(docs, **options).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256))
+    return sorted(map(tuple, out.collect()), key=str)
+
+
+def lines(seed):
+    import random
+    rng = random.Random(seed)
+    pool = [text_of(rng, 4) for _ in range(30)] + ["short", "", "  ", "É" + "x" * 8, "É" + "x" * 9, "AbCdefghijk", " abcdefghijk\t", "abcdefghijk"]
+    return [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 12)))) for i in range(80)]
+
+
+@pytest.mark.parametrize("batches, fan_in", [(1, 3), (6, 3), (7, 2)])
+def test_equals_brute_force(spark, batches, fan_in):
+    rows = lines(batches)
+    docs = frame(spark, rows, "doc_id long, text string").repartition(5)
+    assert got(docs, batches=batches, fan_in=fan_in) == brute(rows)
+
+
+def test_odd_documents(spark):
+    rows = [(r[0], r[1]) for r in corpus(6)]
+    rows += [(None, rows[20][1]), (None, "a line that only these two hold"), (None, "a line that only these two hold"), rows[21], rows[21]]
+    assert got(frame(spark, rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert got(frame(spark, [])) == []
+
+
+def test_runs_are_levelled_and_hold_each_line_once(spark):
+    held = line_dedup.LineRuns(spark, fan_in=2, buckets=3)
+    for i in range(5):
+        held.add(spark.createDataFrame([(i, h, 0) for h in range(i, i + 4)], "doc_id long, hi long, lo long"))
+    assert [len(level) for level in held.levels] == [1, 0, 1]
+    assert {r.hi: r.owner for r in held.owners().collect()} == {h: max(0, h - 3) for h in range(8)}
+
+
+def test_a_run_is_read_without_a_shuffle(spark):
+    held = line_dedup.LineRuns(spark, buckets=3)
+    held.add(spark.createDataFrame([(1, 2, 3)], "doc_id long, hi long, lo long"))
+    run = held.runs()[0]
+    plan = run.join(run.hint("merge"), ["hi", "lo"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_columns_stay_and_n_chars_follows(spark):
+    rows = [(1, "first line of text\nsecond", "x", "s", 25), (2, "FIRST line of text \nother", None, "t", 25), (3, None, "x", None, None)]
+    docs = frame(spark, rows).withColumn("lost_keys", F.lit("mine")).withColumn("lost_id", F.lit(1.5))
+    out = line_dedup.drop_repeated_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_chars, r.lost_keys) for r in out.collect()) == [
+        (1, rows[0][1], 25, "mine"), (2, "other", 5, "mine"), (3, "", 0, "mine")]

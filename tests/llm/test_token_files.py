@@ -1,0 +1,76 @@
+import glob
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import tokenizers
+
+from corpusloom.llm import token_files
+from tests.llm.helpers import corpus, frame
+
+PLAIN = tokenizers.Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+PLAIN.encode_special_tokens = True
+
+
+def ids_of(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
+def brute(rows):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    out, start = [], 0
+    for r in order:
+        ids = ids_of(r[1]) + [0]
+        out.append((r[0], start, len(ids), ids))
+        start += len(ids)
+    return out
+
+
+def test_slices_equal_the_library():
+    parts = ["a", "the", " ", "  ", "\n", " \n ", "é", "'re", "12", "日本", "\t", "\xa0", " ", "!", "ing", "\x1c", "\r\n", "🙂", "<|endoftext|>", "\x85"]
+    rng = random.Random(8)
+    for _ in range(150):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(10)]
+        assert token_files.load(token_files.VOCABULARY).encode(pa.array(texts, pa.string())).to_pylist() == [ids_of(t) for t in texts]
+
+
+def test_files_read_back(spark, tmp_path):
+    rows = corpus(31) + corpus(31)[:6] + [(None, "no id", None, None, 1), (None, None, None, None, 1)]
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(frame(spark, rows).repartition(3), path, partitions=4)
+    have = sorted((tuple(r) for r in token_files.read_tokens(spark, path).collect()), key=lambda r: r[1])
+    assert [(r[0], r[1], r[2], list(r[3])) for r in have] == brute(rows)
+
+
+def test_files_are_dictionary_encoded_ordered_and_indexed(spark, tmp_path):
+    rows = [(i, "some words again and again " * 60, "", "", 1) for i in range(400)]
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(frame(spark, rows), path, partitions=2)
+    last = -1
+    files = sorted(glob.glob(path + "/*.parquet"))
+    for name in files:
+        file = pq.ParquetFile(name)
+        group = file.metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings
+        assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index
+        assert columns["ids.list.element"].total_uncompressed_size < 2 * sum(file.read(["n_tokens"])["n_tokens"].to_pylist())
+        ids = file.read(["doc_id"])["doc_id"].to_pylist()
+        assert ids == sorted(ids) and ids[0] > last
+        last = ids[-1]
+    few = token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert few.count() == 400 and "ids" not in plan
+
+
+def test_digests(spark):
+    rows = corpus(32)
+    have = sorted(map(tuple, token_files.token_digests(frame(spark, rows)).collect()))
+    assert have == [(d, s, n, zlib.crc32(np.array(ids, "<u4").tobytes())) for d, s, n, ids in brute(rows)]
+
+
+def test_empty_table(spark):
+    assert token_files.token_digests(frame(spark, [])).count() == 0
