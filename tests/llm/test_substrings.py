@@ -14,7 +14,7 @@ def rows_with_passages(seed):
     rng = random.Random(seed)
 
     def fresh(n):
-        return [f"{rng.choice('abcdefgh')}{rng.randrange(10 ** 9):x}" for _ in range(n)]
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10 ** 9):x}" + ("\n" if rng.random() < 0.05 else "") for _ in range(n)]
 
     passages = [fresh(rng.randrange(51, 90)) for _ in range(8)]
     rows = []
@@ -23,7 +23,7 @@ def rows_with_passages(seed):
         if i < 24:
             at = rng.randrange(len(body))
             body[at:at] = passages[i % 8]
-        rows.append((i, " ".join(w + ("\n" if rng.random() < 0.05 else "") for w in body)))
+        rows.append((i, " ".join(body)))
     return rows, passages
 
 
@@ -35,7 +35,7 @@ def test_passages_stay_in_the_first_document_alone(spark):
         if got[i].n_removed:
             assert got[i].first_ids == [i % 8]
             left = " ".join(words(got[i].text))
-            assert sum(w in left for w in passages[i % 8]) <= 2 * substrings.ANCHOR_WINDOW
+            assert sum(w.strip() in left for w in passages[i % 8]) <= 2 * substrings.ANCHOR_WINDOW
         else:
             assert got[i].text == text
 
