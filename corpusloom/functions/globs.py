@@ -19,7 +19,6 @@ from corpusloom.functions.paths import base_name, prefixes
 _POSIX = {"alpha": r"\p{Alpha}", "digit": r"\d", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}",
           "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}",
           "word": r"\w"}
-_MAX_BRACES = 10_000
 
 
 @dataclass(frozen=True)
@@ -29,38 +28,53 @@ class Glob:
     negated: bool
 
 
-def expand_braces(glob: str) -> list[str]:
-    """a{b,c{1..2}} -> ab ac1 ac2; a brace without comma or range stays as it is."""
-    depth, start = 0, None
-    i = 0
+def _brace(glob: str, start: int) -> tuple[list[str] | None, int] | None:
+    """(options, position behind) of the brace group at start; options are None if it is just text,
+    the whole is None if it is never closed."""
+    depth, cuts, i = 0, [start], start
     while i < len(glob):
         ch = glob[i]
         if ch == "\\":
-            i += 2
-            continue
-        if ch == "{":
-            if depth == 0:
-                start, commas = i, []
+            i += 1
+        elif ch == "{":
             depth += 1
         elif ch == "," and depth == 1:
-            commas.append(i)
-        elif ch == "}" and depth:
+            cuts.append(i)
+        elif ch == "}":
             depth -= 1
             if depth == 0:
-                head, body, tail = glob[:start], glob[start + 1:i], glob[i + 1:]
-                span = re.fullmatch(r"(-?\d+)\.\.(-?\d+)", body)
-                if commas:
-                    cuts = [start, *commas, i]
-                    options = [o for a, b in zip(cuts, cuts[1:]) for o in expand_braces(glob[a + 1:b])]
-                elif span:
+                body = glob[start + 1:i]
+                if len(cuts) > 1:
+                    cuts.append(i)
+                    return [glob[a + 1:b] for a, b in zip(cuts, cuts[1:])], i + 1
+                if span := re.fullmatch(r"(-?\d+)\.\.(-?\d+)", body):
                     a, b = int(span[1]), int(span[2])
-                    options = [str(n) for n in range(a, b + (1 if b >= a else -1), 1 if b >= a else -1)]
-                else:
-                    options = ["{" + o + "}" for o in expand_braces(body)]
-                tails = expand_braces(tail)
-                if len(options) * len(tails) > _MAX_BRACES:
-                    raise ValueError(f"glob expands to too many patterns: {glob!r}")
-                return [head + o + t for o in options for t in tails]
+                    step = 1 if b >= a else -1
+                    return list(map(str, range(a, b + step, step))), i + 1
+                return None, i + 1
+        i += 1
+    return None
+
+
+def split_braces(glob: str) -> list[str]:
+    """The globs that a glob stands for, by the braces with an option that reaches beyond its segment.
+
+    Such options hold a '/', are all stars, or negate what follows. All other braces stay and
+    become alternations of the regular expression, so their number costs nothing.
+    """
+    i = 0
+    while i < len(glob):
+        if glob[i] == "\\":
+            i += 2
+            continue
+        if glob[i] == "{" and (group := _brace(glob, i)):
+            options, end = group
+            if options is not None and any("/" in o or "!(" in o or re.fullmatch(r"\**", o) for o in options):
+                return [g for o in options for g in split_braces(glob[:i] + o + glob[end:])]
+            if options is None:
+                end = i + 1
+            i = end
+            continue
         i += 1
     return [glob]
 
@@ -84,23 +98,47 @@ def _alternatives(body: str) -> list[str]:
     return [*found, body[last:]]
 
 
-def _char_class(segment: str, start: int) -> tuple[str, int] | None:
+def class_body(body: str) -> str:
+    """The inside of a glob's character class as that of a Java class, which is always valid: names of
+    classes are translated, reversed ranges match nothing, everything else stands for itself."""
+    out, i = "", 0
+    while i < len(body):
+        if named := re.match(r"\[:(\w+):\]", body[i:]):
+            out += _POSIX.get(named[1], "")
+            i += named.end()
+            continue
+        first = body[i + 1:i + 2] if body[i] == "\\" else body[i]
+        i += 2 if body[i] == "\\" else 1
+        if body[i:i + 1] == "-" and i + 1 < len(body) and not body.startswith("[:", i + 1):
+            last = body[i + 2:i + 3] if body[i + 1] == "\\" else body[i + 1]
+            i += 3 if body[i + 1] == "\\" else 2
+            if first and last and first <= last:
+                out += f"\\x{{{ord(first):X}}}-\\x{{{ord(last):X}}}"
+        elif first:
+            out += f"\\x{{{ord(first):X}}}"
+    return out
+
+
+def char_class(segment: str, start: int) -> tuple[str, int] | None:
+    """(regular expression, position behind) of the class at start; None if it is never closed."""
     end = start + 1
     if segment[end:end + 1] in ("!", "^"):
         end += 1
     if segment[end:end + 1] == "]":
         end += 1
     while end < len(segment) and segment[end] != "]":
-        end = segment.find(":]", end) + 2 if segment.startswith("[:", end) and ":]" in segment[end:] else end + 1
+        if segment.startswith("[:", end) and ":]" in segment[end:]:
+            end = segment.find(":]", end) + 2
+        else:
+            end += 2 if segment[end] == "\\" else 1
     if end >= len(segment):
         return None
     body = segment[start + 1:end]
     negated = body[:1] in ("!", "^")
-    body = body[1:] if negated else body
-    body = re.sub(r"\[:(\w+):\]", lambda m: "\0" + m[1] + "\0", body)
-    body = re.sub(r"([\[\]&^\\])", r"\\\1", body)
-    body = re.sub("\0(\\w+)\0", lambda m: _POSIX.get(m[1], ""), body)
-    return (f"[^/{body}]" if negated else f"(?!/)[{body}]"), end + 1
+    inner = class_body(body[1:] if negated else body)
+    if negated:
+        return f"[^/{inner}]", end + 1
+    return f"(?!/)[{inner}]" if inner else "(?!)", end + 1
 
 
 def segment_regex(segment: str) -> str:
@@ -118,6 +156,9 @@ def segment_regex(segment: str) -> str:
                 return out + f"(?!(?:{inner}){rest}(?:/|\\z))[^/]*?{rest}"
             out += f"(?:{inner})" + {"@": "", "?": "?", "*": "*", "+": "+"}[ch]
             i = end + 1
+        elif ch == "{" and (group := _brace(segment, i)) and group[0] is not None:
+            out += "(?:" + "|".join(map(segment_regex, group[0])) + ")"
+            i = group[1]
         elif ch == "*":
             while segment[i + 1:i + 2] == "*":
                 i += 1
@@ -126,7 +167,7 @@ def segment_regex(segment: str) -> str:
         elif ch == "?":
             out += "[^/]"
             i += 1
-        elif ch == "[" and (parsed := _char_class(segment, i)):
+        elif ch == "[" and (parsed := char_class(segment, i)):
             out += parsed[0]
             i = parsed[1]
         elif ch == "\\" and i + 1 < len(segment):
@@ -161,7 +202,7 @@ def compile_walk(pattern: str) -> list[Glob]:
     bangs = len(pattern) - len(pattern.lstrip("!"))
     if pattern[bangs:bangs + 1] == "(" and bangs:
         bangs -= 1
-    bodies = expand_braces(pattern[bangs:])
+    bodies = split_braces(pattern[bangs:])
     globs = [(path_regex(b, False), "/" not in b) for b in bodies]
     if bangs % 2 == 0:
         return [Glob(rx, name_only, False) for rx, name_only in globs]
@@ -205,7 +246,7 @@ def _any(tests: list[Column]) -> Column:
 
 def _listing_regexes(patterns) -> list[str]:
     stripped = [p[2:] if p.startswith("./") else p for p in patterns]
-    return [path_regex(b, True) for p in stripped if p for b in expand_braces(p)]
+    return [path_regex(b, True) for p in stripped if p for b in split_braces(p)]
 
 
 def listed(path: Column, patterns, exclude=()) -> Column:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.globs import char_class
 from corpusloom.functions.paths import prefixes
 from corpusloom.schemas import IGNORE_RUNS
 
@@ -59,15 +60,10 @@ def _segment(part: str) -> str:
             out += re.escape(part[i + 1])
             i += 2
             continue
-        if ch == "[":
-            close = part.find("]", i + 2)
-            if close > 0:
-                body = part[i + 1:close]
-                negate = body[0] in "!^"
-                body = re.sub(r"([\[\]&^\\])", r"\\\1", body[1:] if negate else body)
-                out += f"[^/{body}]" if negate else f"[{body}]"
-                i = close + 1
-                continue
+        if ch == "[" and (parsed := char_class(part, i)):
+            out += parsed[0]
+            i = parsed[1]
+            continue
         out += {"*": "[^/]*", "?": "[^/]"}.get(ch) or re.escape(ch)
         i += 1
     return out

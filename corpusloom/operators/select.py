@@ -41,23 +41,19 @@ def ignore_rules(files: DataFrame) -> DataFrame:
         "project", parse_rules(read_text(F.col("content"))).alias("_runs"))
 
 
-# Rule tables of up to this many projects join without salt; Spark broadcasts them if
-# their file size allows.
-SMALL_RULES = 200_000
-
-
 def with_ignored(files: DataFrame) -> DataFrame:
     """files plus _ignored.
 
-    The rules are staged first. With their true size known Spark can choose a broadcast at
-    once, and the contents are not shuffled; beyond that the join is spread over salts.
+    The rules of a project are tested on its paths alone, spread over salts, since one project
+    may own most of them. What comes back to the files is the paths that are hidden, as a rule the
+    lesser part; contents are not sent to one place by project.
     """
     rules = stage(ignore_rules(files))
-    if rules.count() <= SMALL_RULES:
-        joined = files.join(rules, ["project"], "left")
-    else:
-        joined = spread_join(files, rules, ["project"], "left")
-    return joined.withColumn("_ignored", ignored(F.col("path"), F.col("_runs"))).drop("_runs")
+    hidden = stage(spread_join(files.select("project", "path"), rules, ["project"])
+                   .where(ignored(F.col("path"), F.col("_runs"))).select("project", "path").distinct()
+                   .withColumn("_hidden", F.lit(True)))
+    return files.join(hidden, ["project", "path"], "left").withColumn(
+        "_ignored", F.coalesce("_hidden", F.lit(False))).drop("_hidden")
 
 
 def full_matches(scan: FullScan, filters: Filters, columns) -> Column:

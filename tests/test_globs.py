@@ -1,3 +1,5 @@
+import pytest
+
 from corpusloom.functions import globs
 from tests.helpers import column
 
@@ -82,6 +84,20 @@ def test_pattern_scan_differs_from_the_walk(spark):
 
 
 def test_expand_braces():
-    assert globs.expand_braces("a{b,c{1..2}}d") == ["abd", "ac1d", "ac2d"]
-    assert globs.expand_braces("a{b}") == ["a{b}"]
-    assert globs.expand_braces("{a,b}{c,d}") == ["ac", "ad", "bc", "bd"]
+    assert globs.split_braces("a{b,c{1..2}}d") == ["a{b,c{1..2}}d"]
+    assert globs.split_braces("x/{a/b,c}/{d,e}") == ["x/a/b/{d,e}", "x/c/{d,e}"]
+    assert globs.split_braces("{a,*}") == ["a", "*"]
+
+
+@pytest.mark.parametrize("glob, yes, no", [
+    ("a{b,c{1..2}}d", ["abd", "ac1d", "ac2d"], ["ad", "ac3d", "acd"]), ("a{b}", ["a{b}"], ["ab"]),
+    ("{a,b}{c,d}", ["ac", "bd"], ["ab"]), ("n{1..20000}{0..9}", ["n199993"], ["n30000a"]), ("{a,}b", ["ab", "b"], ["a"]),
+    ("\\{a,b}", ["{a,b}"], ["a"]), ("{a", ["{a"], ["a"]), ("x{*.md,?}", ["xa.md", "xy"], ["xyz"])])
+def test_braces_are_alternations(spark, glob, yes, no):
+    assert column(spark, yes + no, lambda v: globs.listed(v, [glob])) == [True] * len(yes) + [False] * len(no)
+
+
+@pytest.mark.parametrize("text", ["[z-a]", "[]", "[]a]", "[[:alpha:]x]", "[[:none:]]", "[!]", "[a", "[\\]]", "[a-]", "[&&b]", "[^^]", "[--/]"])
+def test_any_class_compiles(spark, text):
+    found = column(spark, ["a", "z", "-", "]", "x/y"], lambda v: globs.listed(v, [text, "q" + text]))
+    assert not any(found[-1:]) and column(spark, ["a"], lambda v: globs.excluded(v, [text])) in ([True], [False])

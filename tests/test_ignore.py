@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ignore import rule_runs
 from corpusloom.operators.select import with_ignored
 from tests.helpers import corpus
 
@@ -43,3 +46,18 @@ def test_rules_hold_for_their_project_and_only_the_root_file_counts(spark):
     files = corpus(spark, {".gitignore": "a\n", "a": "1"}, {"a": "1"}, {"d/.gitignore": "a\n", "d/a": "1"})
     rows = with_ignored(files).where(F.col("_ignored")).collect()
     assert [(r.project, r.path) for r in rows] == [("p0", "a")]
+
+
+def test_bad_lines_hide_nothing_and_stop_nobody(spark):
+    files = corpus(spark, {".gitignore": "[z-a]\n*.log\n", "a.log": "1", "b": ""}, {".gitignore": "x[]\n[[:foo:]]\n", "x": ""}, {".gitignore": "*.md", "r.md": ""})
+    rows = with_ignored(files).where(F.col("_ignored")).collect()
+    assert sorted((r.project, r.path) for r in rows) == [("p0", "a.log"), ("p2", "r.md")]
+
+
+def test_random_lines_are_valid_patterns(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("ab[]!^-\\/*?.#{}()&|+$ :z0") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    regexes = [r["regex"] for line in lines for r in rule_runs(line)]
+    compile_ = spark._jvm.java.util.regex.Pattern.compile
+    for regex in regexes:
+        compile_(regex)
