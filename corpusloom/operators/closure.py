@@ -6,14 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.paths import clean_root
 from corpusloom.operators.ordering import numbered
 from corpusloom.staging import stage
 
-# Closures with at most this many edges are ordered by one walk inside a task; larger
-# ones by joins over all executors. Both give the same order.
-WALK_EDGES = 500_000
-
-
 def bounded_closure(entries: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(project, strategy, path, depth, reason) reached from entries (project, strategy, entry).
 
@@ -83,8 +79,10 @@ def _walked(entries: DataFrame, edges: DataFrame) -> DataFrame:
         _post_order, "project string, strategy string, path string, topo_pos long")
 
 
-def _joined(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same order by joins, for closures too large for one task.
+def topo_order_by_joins(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same order by joins alone, for a caller whose single closures are too large for one task.
+
+    It takes as many rounds as the depth-first tree is deep.
 
     The branch of a file in the depth-first tree is the least, step by step, among the branches
     of its importers extended by the import, leaving out importers whose branch already holds the
@@ -114,26 +112,24 @@ def _joined(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.select(*keys, "path", (F.col("topo_pos") - 1).alias("topo_pos"))
 
 
-def topo_order(entries: DataFrame, edges: DataFrame, walk_edges: int = WALK_EDGES) -> DataFrame:
+def topo_order(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """(project, strategy, path, topo_pos): dependencies before the files that need them.
 
-    entries (project, strategy, entry), edges as from closure_edges.
+    entries (project, strategy, entry), edges as from closure_edges. A depth-first order is
+    sequential, so the unit of work is one closure: the files that one entry reaches within its depth.
+    All closures of all projects are walked in parallel.
     """
-    edges = stage(edges)
-    keys = ["project", "strategy"]
-    large = stage(edges.groupBy(*keys).count().where(F.col("count") > walk_edges).select(*keys))
-    small = _walked(entries.join(large, keys, "left_anti"), edges.join(large, keys, "left_anti"))
-    if large.isEmpty():
-        return small
-    return small.unionByName(_joined(entries.join(large, keys, "left_semi"), edges.join(large, keys, "left_semi")))
+    return _walked(entries, edges)
 
 
 def dependency_scan(files: DataFrame, strategy: str, entry: str, edges: DataFrame, depth: int = 2) -> DataFrame:
     """(project, strategy, path, depth, reason, topo_pos) of one entry path in every project that has it.
 
-    edges should be staged by the caller; they are read once per level.
+    edges should be staged by the caller; they are read once per level. The entry may be written as
+    './src/main.ts'; one that leads out of the project has no closure.
     """
-    entries = stage(files.where(F.col("path") == entry).select(
+    entry = clean_root(entry)
+    entries = stage(files.where(F.col("path") == F.lit(entry)).select(
         "project", F.lit(strategy).alias("strategy"), F.col("path").alias("entry")).distinct())
     closure = stage(bounded_closure(entries, edges, depth))
     order = topo_order(entries, closure_edges(closure, edges, depth))

@@ -21,17 +21,21 @@ _TS_ENDS = (".ts", ".tsx", ".d.ts")
 
 IMPORT, CALL, MODULE = 0, 1, 2
 
+_COMMENT = r"(?://[^\n]*+|/\*(?s:.*?)\*/)"
 _WORD = r"[\w$\s{},*\x{80}-\x{10FFFF}]"
 _QUOTED = r"""(?:"[^"\n]*"|'[^'\n]*')"""
+_TEMPLATE = r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
+# Names and signs, and comments between them: the loop turns once per comment.
+_CLAUSE = r"(?:" + _WORD + r"*?" + _COMMENT + r")*?" + _WORD + r"*?"
 # Left to right, a comment or a string hides what is inside it. A wrong guess about a
 # quote costs at most the rest of its line. The look-ahead skips all other characters fast.
-_LEXER = "(?=[/ir'\"])(?:" + "|".join([
-    r"//[^\n]*",
-    r"/\*(?s:.*?)\*/",
+_LEXER = "(?=[/ir'\"`])(?:" + "|".join([
+    _COMMENT,
+    _TEMPLATE,
     r"\bimport\s+[\w$]+\s*=\s*require\s*\(\s*" + _QUOTED,
     "(" + "|".join([
         r"\bimport(?<![.$]import)\s*\(\s*" + _QUOTED,
-        r"\bimport(?<![.$]import)\b\s*(?:" + _WORD + r"*?\bfrom\s*)?" + _QUOTED,
+        r"\bimport(?<![.$]import)\b\s*(?:" + _CLAUSE + r"\bfrom\s*)?" + _QUOTED,
         r"\brequire(?<![.$]require)\s*\(\s*" + _QUOTED]) + ")",
     _QUOTED,
 ]) + ")"
@@ -52,7 +56,10 @@ def edges_raw(files: DataFrame) -> DataFrame:
     tokens = scripts(files).select(
         "project", F.col("path").alias("src"), import_tokens(read_text(F.col("content"))).alias("_found"))
     token = F.col("_token")
-    clause = F.regexp_extract(token, r"(?s)\Aimport\b\s*(.*?)\s*\bfrom\s*['\"]", 1)
+    # The target is the string at the end; a comment before it may hold anything.
+    target = F.regexp_extract(token, _QUOTED + r"\z", 0)
+    head = F.regexp_replace(F.substr(token, F.lit(1), F.length(token) - F.length(target)), _COMMENT, " ")
+    clause = F.btrim(F.regexp_extract(head, r"(?s)\Aimport\b\s*(.*?)\s*\bfrom\s*\z", 1), F.lit(" \t\r\n"))
     form = (F.when(F.startswith(token, F.lit("require")), "require")
             .when(F.rlike(token, F.lit(r"\Aimport\s*\(")), "dynamic").otherwise("import"))
     # The outer form, or Spark would test the size of the list first and build it twice.
@@ -62,7 +69,7 @@ def edges_raw(files: DataFrame) -> DataFrame:
         F.when(form == "import", IMPORT).otherwise(CALL).alias("kind"),
         F.col("_pos").cast("long").alias("ord"),
         form.alias("form"),
-        F.regexp_extract(token, r"['\"]([^\n]*)['\"]\z", 1).alias("spec"),
+        F.substr(target, F.lit(2), F.length(target) - 2).alias("spec"),
         ((form == "import") & F.rlike(clause, F.lit(r"\Atype(?:\s+[\w${*]|\s*[{*])"))).alias("type_only"),
         F.when(form == "import", clause).otherwise("").alias("clause"),
     )
@@ -122,11 +129,17 @@ def path_aliases(files: DataFrame) -> DataFrame:
         "project", F.when(options["baseUrl"].isNotNull(), F.concat(listed, anywhere)).otherwise(listed).alias("_aliases"))
 
 
+def _step(kind, within, turn) -> Column:
+    """Rank of a place to look: relative paths, exact aliases, patterns, packages; then by the two numbers."""
+    parts = [(p if isinstance(p, Column) else F.lit(p)).cast("int") for p in (kind, within, turn)]
+    return F.struct(*(p.alias(n) for p, n in zip(parts, ("kind", "within", "turn"))))
+
+
 def candidates(raw: DataFrame, files: DataFrame) -> DataFrame:
     """raw plus one row per (step, key) to look up; lower steps win."""
     spec = F.col("spec")
     relative = F.rlike(spec, F.lit(r"\A\.{1,2}(?:/|\z)|\A/"))
-    near = F.array(F.struct(F.lit(0).alias("step"), resolve_path(spec, F.col("_dir")).alias("key")))
+    near = F.array(F.struct(_step(0, 0, 0).alias("step"), resolve_path(spec, F.col("_dir")).alias("key")))
 
     def fits(a: Column) -> Column:
         return F.when(a["starred"], F.startswith(spec, a["head"]) & F.endswith(spec, a["tail"])
@@ -135,17 +148,17 @@ def candidates(raw: DataFrame, files: DataFrame) -> DataFrame:
     def places(a: Column) -> Column:
         star = F.substr(spec, F.length(a["head"]) + 1, F.length(spec) - F.length(a["head"]) - F.length(a["tail"]))
         # An exact alias comes before patterns, a longer prefix before a shorter one.
-        weight = F.when(a["starred"], 1000 - F.least(F.length(a["head"]), F.lit(900))).otherwise(1) * 100
+        kind, shorter = F.when(a["starred"], 2).otherwise(1), F.when(a["starred"], -F.length(a["head"])).otherwise(0)
         return F.transform(a["targets"], lambda t, i: F.struct(
-            (weight + i).cast("int").alias("step"), fold_dots(F.replace(t, F.lit("*"), star)).alias("key")))
+            _step(kind, shorter, i).alias("step"), fold_dots(F.replace(t, F.lit("*"), star)).alias("key")))
 
     by_alias = F.coalesce(F.flatten(F.transform(F.filter("_aliases", fits), places)),
-                          F.array().cast("array<struct<step: int, key: string>>"))
+                          F.array().cast("array<struct<step: struct<kind: int, within: int, turn: int>, key: string>>"))
     # Packages: node_modules of the nearest folder first.
     above = F.reverse(F.concat(F.array(F.lit("")), F.when(F.col("_dir") == "", F.array().cast("array<string>")).otherwise(
         F.transform(prefixes(F.col("_dir")), lambda p: F.concat(p, F.lit("/"))))))
     packaged = F.transform(above, lambda d, i: F.struct(
-        (F.lit(200_000) + i).cast("int").alias("step"), F.concat(d, F.lit("node_modules/"), spec).alias("key")))
+        _step(3, 0, i).alias("step"), F.concat(d, F.lit("node_modules/"), spec).alias("key")))
     placed = spread_join(raw.withColumn("_dir", parent_dir(F.col("src"))), path_aliases(files), ["project"], "left", "src")
     return placed.where(spec != "").select(
         *raw.columns, F.inline_outer(F.when(relative, near).otherwise(F.concat(by_alias, packaged))))
@@ -189,36 +202,55 @@ def detect_framework(files: DataFrame) -> DataFrame:
 
 
 _MODULE_PROPS = ("imports", "controllers", "providers", "exports")
+_MODULE_TOKENS = "|".join([_COMMENT, _QUOTED, _TEMPLATE, r"@Module\s*+\(", r"[\w$.]+", r"[()\[\]{}:,]"])
+
+
+def module_names(text: Column) -> Column:
+    """array<struct<prop, ident>>: the identifiers listed in the arrays of every @Module({...}), in text order.
+
+    One pass over the tokens that keeps the depth of open brackets: the call is 1, its object 2, an
+    array 3. What is nested deeper, as the options of T.forRoot({...}), belongs to its element,
+    which then is no identifier.
+    """
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(_MODULE_TOKENS), F.lit(0)),
+                      lambda t: ~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*")))
+    nothing = F.array().cast("array<struct<prop: string, ident: string>>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("key"), F.lit("").alias("prop"), F.lit("").alias("item"),
+                     nothing.alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"]
+        opens, closes = t.isin("(", "{", "["), t.isin(")", "}", "]")
+        listed = (depth == 3) & (s["prop"] != "")
+        ends = listed & t.isin(",", "]")
+        item = F.btrim(s["item"])
+        new_depth = (F.when(depth == 0, F.startswith(t, F.lit("@Module")).cast("int")).when(opens, depth + 1)
+                     .when(closes, depth - 1).otherwise(depth))
+        return F.struct(
+            new_depth.alias("depth"),
+            F.when(depth != 2, "").when(t == ":", F.concat(s["key"], t)).otherwise(t).alias("key"),
+            F.when((depth == 2) & (t == "[") & s["key"].isin(*(p + ":" for p in _MODULE_PROPS)), F.rtrim(s["key"], F.lit(":")))
+            .when(new_depth < 3, "").otherwise(s["prop"]).alias("prop"),
+            F.when(ends | (depth < 3), "").when(listed, F.concat(s["item"], F.lit(" "), t)).otherwise(s["item"]).alias("item"),
+            F.when(ends & F.rlike(item, F.lit(r"\A[A-Za-z_$][\w$]*\z")),
+                   F.concat(s["found"], F.array(F.struct(s["prop"].alias("prop"), item.alias("ident")))))
+            .otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(tokens, start, step, lambda s: s["found"])
 
 
 def module_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Edges from the arrays of @Module({...}) in nestjs projects: an identifier leads to the
-    file it is imported from, or to its own file if it is declared there."""
+    file it is imported from, or to its own file if it is declared there. Texts are read where they lie."""
     nest = detect_framework(files).where("framework = 'nestjs'").select("project")
     body = read_text(F.col("content"))
     bare = F.regexp_replace(F.regexp_replace(body, r"/\*[\s\S]*?\*/", ""), r"(^|[^:])//[^\n]*", "$1")
-    marked = scripts(files).where(F.contains(F.col("content"), F.lit(bytearray(b"@Module")))).select(
-        "project", F.col("path").alias("src"), bare.alias("_text"))
-    marked = spread_join(marked, nest, ["project"], "inner", "src")
-    props = marked.select(
-        "project", "src", "_text",
-        F.posexplode_outer(F.regexp_extract_all("_text", F.lit(r"@Module\s*\(\s*\{[\s\S]*?\}\s*\)"), F.lit(0)))
-        .alias("_at", "_call")).select(
-        "project", "src", "_at",
-        F.regexp_extract_all("_text", F.lit(r"\b(?:class|function|const|let|var)\s+([\w$]+)"), F.lit(1))
-        .alias("_declared"),
-        F.posexplode_outer(F.regexp_extract_all(
-            "_call", F.lit(r"\b(?:" + "|".join(_MODULE_PROPS) + r")\s*:\s*\[[^\]]*\]"), F.lit(0)))
-        .alias("_prop_at", "_prop"))
-    names = props.select(
-        "project", "src", "_declared", "_at", "_prop_at",
-        F.regexp_extract("_prop", r"\A(\w+)", 1).alias("prop"),
-        F.posexplode_outer(F.split(F.regexp_extract("_prop", r"\[([^\]]*)\]", 1), ",")).alias("_name_at", "_name")
-    ).select(
-        "project", "src", "_declared", "prop",
-        (F.col("_at") * 1_000_000_000 + F.col("_prop_at") * 1_000_000 + F.col("_name_at")).cast("long").alias("ord"),
-        F.btrim("_name", F.lit(" \t\r\n")).alias("ident"),
-    ).where(F.rlike("ident", F.lit(r"\A[A-Za-z_$][\w$]*\z")))
+    listed = scripts(files).where(F.contains(F.col("content"), F.lit(bytearray(b"@Module")))).select(
+        "project", F.col("path").alias("src"),
+        F.regexp_extract_all(bare, F.lit(r"\b(?:class|function|const|let|var)\s+([\w$]+)"), F.lit(1)).alias("_declared"),
+        F.posexplode_outer(module_names(body)).alias("ord", "_name")).where("_name is not null")
+    names = spread_join(listed.select("project", "src", "_declared", F.col("ord").cast("long").alias("ord"), "_name.*"),
+                        nest, ["project"], "inner", "src")
     bindings = import_bindings(resolved).groupBy("project", "src", "ident").agg(
         F.min(F.struct("ord", "dst"))["dst"].alias("dst"))
     # Both sides are spread by file, so this join has no hot key.

@@ -14,7 +14,7 @@ from corpusloom.functions import paths, text
 from corpusloom.operators import closure, edges, groups, manifest, pack, select, slices, tree
 from corpusloom.operators.ordering import numbered, path_order
 from corpusloom.plans import export as plan
-from corpusloom.sources.files import ingest as ingest_trees
+from corpusloom.sources.files import ingest as ingest_trees, opened
 from corpusloom.spec import (Budget, DependencyScan, ExportSpec, Filters, FolderScan, Format, FullScan, Output,
                              PatternScan)
 from corpusloom.staging import shared_dir, stage
@@ -115,15 +115,15 @@ def detect_framework(spark, sf_dir):
 @query
 def ingest(spark, sf_dir):
     """Write the corpus as real project trees in the shared folder, then list and read them."""
-    import os
-    root = os.path.join(shared_dir(spark).removeprefix("file:"), f"trees-{uuid.uuid4().hex}")
+    root = f"{shared_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
 
     def write(batches):
+        system, base = opened(root)
         for batch in batches:
             for project, path, content in zip(batch["project"], batch["path"], batch["content"]):
-                target = os.path.join(root, project, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as f:
+                target = f"{base}/{project}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as f:
                     f.write(content)
             yield batch[["project", "path"]]
 
@@ -456,7 +456,7 @@ def topo_order_joins(spark, sf_dir):
     entries = stage(files.where(F.col("path") == adapters.ENTRY).select(
         "project", F.lit("feature").alias("strategy"), F.col("path").alias("entry")))
     reached = stage(closure.bounded_closure(entries, graph, DEPTH))
-    return closure.topo_order(entries, closure.closure_edges(reached, graph, DEPTH), walk_edges=0)
+    return closure.topo_order_by_joins(entries, stage(closure.closure_edges(reached, graph, DEPTH)))
 
 
 @query
