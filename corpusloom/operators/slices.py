@@ -49,7 +49,13 @@ def slice_lines(lines: Column, ranges: Column) -> Column:
                        lambda s: F.array_join(F.concat(s["out"], gap(count - s["next"])), "\n"))
 
 
-_STRINGS = r""""[^"]*"|'[^']*'|`[^`]*`"""
+# The parts of a script, left to right: what may hide braces, plain text, any other character. A slash opens a
+# regular expression only behind a sign after which a value must come.
+_PARTS = "|".join([
+    r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)",
+    r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`",
+    r"(?<=[=(,:;!&|?{}\[+>\n]\s{0,3}|\breturn\s{1,3})/(?![/*\s])[^/\\\[\n]*+(?:(?:\\.|\[(?:[^\]\\\n]|\\.)*+\])[^/\\\[\n]*+)*+/[a-z]*",
+    r"[^\"'`/]++", r"(?s:.)"])
 
 
 def _down():
@@ -63,29 +69,28 @@ def _up():
         Window.unboundedPreceding, Window.currentRow)
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """(project, path, line, code): lines that hold code, without comments and with empty strings.
+def code_only(text: Column) -> Column:
+    """A script with empty strings and without comments; every line stays where it is."""
 
-    The windows run over the lines of one file, whose size the size filter bounds.
-    """
-    lines = files.select("project", "path", F.posexplode_outer(F.split(read_text(F.col("content")), "\n", -1))
-                         .alias("line", "raw"))
-    no_escapes = F.regexp_replace("raw", r"\\.", "")
-    no_comments = F.regexp_replace(no_escapes, f"({_STRINGS})|//.*|/\\*.*?\\*/", "$1")
-    marked = lines.withColumn("_bare", F.regexp_replace(no_comments, _STRINGS, '""'))
-    # What is left opens or closes a block comment of several lines.
-    mark = F.when(F.contains("_bare", F.lit("/*")), 1).when(F.contains("_bare", F.lit("*/")), 0)
-    before = F.last(mark, ignorenulls=True).over(Window.partitionBy("project", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    inside = F.coalesce(before, F.lit(0)) == 1
-    visible = F.when(inside, F.when(F.contains("_bare", F.lit("*/")), F.regexp_replace("_bare", r"^.*?\*/", ""))
-                     .otherwise(F.lit(""))).otherwise(F.col("_bare"))
-    return marked.withColumn("_code", visible).select(
-        "project", "path", "line", F.regexp_replace("_code", r"/\*.*$", "").alias("code")
-    ).where(F.rlike("code", F.lit(r"\S")))
+    def shown(part: Column) -> Column:
+        breaks = F.regexp_replace(part, r"[^\n]+", "")
+        first, alone = F.left(part, F.lit(1)), F.length(part) == 1
+        return (F.when(F.startswith(part, F.lit("//")) | F.startswith(part, F.lit("/*")), breaks)
+                .when(first.isin("'", '"', "`"), F.when(alone, "").otherwise(F.concat(F.lit('""'), breaks)))
+                .when((first == "/") & ~alone, "0").otherwise(part))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0)), shown), "")
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """(project, path, line, code): lines that hold code, without comments and with empty strings."""
+    code = code_only(read_text(F.col("content")))
+    return files.select("project", "path", F.posexplode_outer(F.split(code, "\n", -1)).alias("line", "code")).where(
+        F.rlike("code", F.lit(r"\S")))
 
 
 _HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?"
-_METHOD = (r"^\s*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*"
+_METHOD = (r"^\s*(?:(?:public|private|protected|static|async|override|readonly|abstract)\s+)*\*?\s*"
            r"([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\(")
 # Words before '(' that are not method names.
 _NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "function", "constructor", "super", "new")

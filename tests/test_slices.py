@@ -102,3 +102,27 @@ def test_symbols(spark):
     assert sliced(spark, "helper.anything") == plain(SOURCE, [(0, 3), (30, 32)])
     assert sliced(spark, "Nothing", "Auth.none") is None
     assert "\n".join(lines[20:26]) in sliced(spark, "Auth.login")
+
+
+def test_braces_in_patterns_templates_and_accessors(spark):
+    source = """import { X } from './x';
+const r = /[{]/, half = 4 / 2, s = 'it\\'s {';
+const page = `
+  <b>{{{ ${half}
+`;
+export class Shop {
+  get open() { return /}/g.test('}'); }
+  sell(a) {
+    return a.replace(/\\/[/{]+/, "{"); // }
+  }
+}
+"""
+    files = corpus(spark, {"a.ts": source})
+    found = {(r.kind, r.class_name, r.name, r.start, r.end) for r in slices.declarations(slices.code_lines(files)).collect()}
+    assert found == {("import", "", "", 0, 0), ("class", "Shop", "", 5, 10), ("method", "Shop", "sell", 7, 9)}
+
+
+def test_hidden_parts_keep_their_lines(spark):
+    source = "a /* { \n } */ b // {\n`x\n{` + '{' / \"}\"\nlet q = `${'"
+    code = corpus(spark, {"a.ts": source}).select(slices.code_only(F.col("content").cast("string"))).first()[0]
+    assert code == 'a \n b \n""\n + "" / ""\nlet q = ${'
