@@ -35,8 +35,7 @@ _LINE_START = r"(?m)^(?<!\x85)"
 # characters and the byte order mark, and tests faster than a list of ranges.
 _BLANK = r"[\t\x0B\f\r\p{Z}\x{FEFF}]"
 
-_NODE_TO_CODEC = {"utf16le": "utf-16-le", "ucs2": "utf-16-le", "latin1": "iso-8859-1",
-                  "binary": "iso-8859-1"}
+_NODE_TO_CODEC = {"utf16le": "utf-16-le", "ucs2": "utf-16-le"}
 
 
 def read_text(content: Column, encoding: str = "utf8") -> Column:
@@ -47,16 +46,16 @@ def read_text(content: Column, encoding: str = "utf8") -> Column:
     if name in ("latin1", "binary"):
         return F.decode(content, "ISO-8859-1")
     if name == "ascii":
-        codec = "ascii"
-    elif name in _NODE_TO_CODEC:
-        codec = _NODE_TO_CODEC[name]
-    else:
+        # Only seven bits of a byte count. A zero would mean "leave out" to translate, so it goes apart.
+        high, low = "".join(map(chr, range(0x81, 0x100))), "".join(map(chr, range(0x01, 0x80)))
+        return F.translate(F.replace(F.decode(content, "ISO-8859-1"), F.lit("\x80"), F.lit("\0")), high, low)
+    if name not in _NODE_TO_CODEC:
         raise ValueError(f"encoding {encoding!r} is not supported")
+    codec = _NODE_TO_CODEC[name]
 
+    # The built-in decoder stops at a half pair; this one replaces it.
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
-        if codec == "ascii":
-            return raw.map(lambda b: None if b is None else bytes(x & 0x7F for x in b).decode("ascii"))
         return raw.map(lambda b: None if b is None else bytes(b).decode(codec, "replace"))
 
     return decode(content)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,26 +39,35 @@ def read_binary_files(spark: SparkSession, root: str, project: Column | None = N
                       F.col("length").alias("size"))
 
 
-def _list_dirs(root: str):
+def opened(root: str):
+    """(file system, path on it) of a root URI or plain path; anything pyarrow can open, made anew in every task."""
+    if "://" in root:
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root.removeprefix("file:")
+
+
+def _list_dirs(root: str, max_kb: float):
     def run(batches):
+        system, base = opened(root)
+        most = int(max_kb * 1024) if max_kb else None
         for batch in batches:
             for project, folder in zip(batch["project"], batch["path"]):
+                here = "/".join(p for p in (base.rstrip("/"), project, folder) if p)
                 found = []
-                try:
-                    entries = os.scandir(os.path.join(root, project, folder))
-                except OSError:
-                    continue
-                with entries:
-                    for e in entries:
-                        # Links are neither files nor folders here.
-                        if e.is_symlink() or not (e.is_dir() or e.is_file()):
-                            continue
-                        inner = f"{folder}/{e.name}" if folder else e.name
-                        size = 0 if e.is_dir() else e.stat().st_size
-                        found.append((project, inner, e.is_dir(), size))
-                        if len(found) >= 50_000:
-                            yield pd.DataFrame(found, columns=LISTING.names)
-                            found = []
+                for e in system.get_file_info(pafs.FileSelector(here, allow_not_found=True)):
+                    # A file that went away meanwhile, or is neither a file nor a folder, has no row.
+                    is_dir = e.type == pafs.FileType.Directory
+                    if not is_dir and e.type != pafs.FileType.File:
+                        continue
+                    if isinstance(system, pafs.LocalFileSystem) and os.path.islink(e.path):
+                        continue
+                    size = 0 if is_dir else e.size
+                    if most is not None and size > most:
+                        continue
+                    found.append((project, f"{folder}/{e.base_name}" if folder else e.base_name, is_dir, size))
+                    if len(found) >= 50_000:
+                        yield pd.DataFrame(found, columns=LISTING.names)
+                        found = []
                 if found:
                     yield pd.DataFrame(found, columns=LISTING.names)
     return run
@@ -65,11 +75,12 @@ def _list_dirs(root: str):
 
 def _read_contents(root: str):
     def run(batches):
+        system, base = opened(root)
         for batch in batches:
             rows, held = [], 0
             for project, path in zip(batch["project"], batch["path"]):
                 try:
-                    with open(os.path.join(root, project, path), "rb") as f:
+                    with system.open_input_file("/".join((base.rstrip("/"), project, path))) as f:
                         data = f.read()
                 except OSError:
                     continue  # an unreadable file has no row
@@ -83,25 +94,20 @@ def _read_contents(root: str):
     return run
 
 
-def ingest(spark: SparkSession, root: str, projects: DataFrame) -> DataFrame:
-    """Read project trees below root on a file system that every executor mounts.
+def ingest(spark: SparkSession, root: str, projects: DataFrame, max_file_kb: float = 0) -> DataFrame:
+    """Read project trees below root, a path or URI of a file system that every executor reaches.
 
     projects (project) names folders below root. Folders are listed level by level, each
-    level spread over the tasks, so neither the driver nor one task walks a whole project.
+    level spread over the tasks, so neither the driver nor one task walks a whole project. Files of
+    more than max_file_kb are left out by their listed size and never opened; 0 takes all.
     """
     folders = projects.select("project", F.lit("").alias("path"))
     listed = None
     while True:
-        found = stage(folders.repartition("project", "path").mapInPandas(_list_dirs(root), LISTING))
+        found = stage(folders.repartition("project", "path").mapInPandas(_list_dirs(root, max_file_kb), LISTING))
         level = found.where("not is_dir")
         listed = level if listed is None else listed.unionByName(level)
         folders = found.where("is_dir").select("project", "path")
         if folders.isEmpty():
             break
     return listed.select("project", "path").repartition("project", "path").mapInPandas(_read_contents(root), FILES)
-
-
-def at_least_parallel(df: DataFrame) -> DataFrame:
-    """Spread a source of too few splits (one small file) over the cores; large ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -26,6 +26,15 @@ def test_ingest_reads_hidden_names_and_skips_links(spark, tmp_path):
         ("p0", "src/a.ts", b"a", 1), ("p1", "b", b"bb", 2)]
 
 
+def test_large_files_are_left_out_by_their_listed_size(spark, tmp_path):
+    build(tmp_path)
+    (tmp_path / "p1/huge").touch()
+    os.truncate(tmp_path / "p1/huge", 1 << 40)
+    projects = spark.createDataFrame([("p1",)], "project string")
+    rows = sources.ingest(spark, tmp_path.as_uri(), projects, max_file_kb=500).collect()
+    assert [(r.path, r.size) for r in rows] == [("b", 2)]
+
+
 def test_binary_file_source(spark, tmp_path):
     (tmp_path / "p0/src").mkdir(parents=True)
     (tmp_path / "p0/src/a.ts").write_bytes(b"abc")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.files import at_least_parallel
 from corpusloom.staging import stage
 
 _NL = "chr(10)"
@@ -110,7 +109,8 @@ ENTRY = "src/m0/f00.ts"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return at_least_parallel(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    # The driver tables may be one small file each.
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def files(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
