@@ -7,13 +7,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.paths import clean_root
 from corpusloom.functions.text import tokens_of_length, utf16_length
 from corpusloom.operators import closure, edges, groups, manifest, pack, tree
 from corpusloom.operators.ordering import in_chunks, path_order, positions, spread_join
 from corpusloom.operators.process import process
 from corpusloom.operators.select import collect_files, size_within
 from corpusloom.operators.slices import slice_symbols
-from corpusloom.plans.sinks import terminated, write_rows
+from corpusloom.plans.sinks import write_rows
 from corpusloom.spec import DependencyScan, ExportSpec
 from corpusloom.staging import stage, staged_tables
 
@@ -38,7 +39,7 @@ def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
     chosen = collect_files(files, scans, spec.filters, closures)
     for i, scan in dependent:
         if scan.symbols:
-            entry = files.where((F.col("path") == scan.entry) & size_within(F.col("size"), spec.format.max_file_kb))
+            entry = files.where((F.col("path") == F.lit(clean_root(scan.entry))) & size_within(F.col("size"), spec.format.max_file_kb))
             cut = stage(slice_symbols(entry, scan.symbols))
             chosen = chosen.join(cut.select("project", "path", F.lit(i).alias("strategy_idx"),
                                             F.col("sliced").alias("_cut")),
@@ -170,14 +171,10 @@ def preview_rows(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
     return export_rows(files, plain, names).drop("file_name")
 
 
-def preview_text(files: DataFrame, spec: ExportSpec, project: str, max_chars: int = 50_000_000, names=None) -> str:
-    """The whole preview of one project on the driver; refuses texts beyond max_chars."""
-    rows = stage(preview_rows(files.where(F.col("project") == project), spec, names).withColumn("file_name", F.lit("")))
-    chars = rows.agg(F.sum(F.length("text") + len(spec.format.separator))).first()[0] or 0
-    if chars > max_chars:
-        raise ValueError(f"preview of {project!r} has {chars} characters, more than {max_chars}")
-    ordered = terminated(rows, spec.format.separator).orderBy("section", "seq", "step").collect()
-    return "".join(r["text"] for r in ordered).removesuffix(spec.format.separator)
+def write_preview(files: DataFrame, spec: ExportSpec, target: str, names=None) -> None:
+    """The previews of all projects as text below target, one folder per project, in the layout of an export."""
+    rows = preview_rows(files, spec, names).withColumn("file_name", F.lit("preview"))
+    write_rows(rows, spec.format.separator, target)
 
 
 def export(spark: SparkSession, files: DataFrame, spec: ExportSpec, target: str, names=None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text sink: one folder per output file, whose part files in name order are its text."""
+"""Text sink: one folder per output file, whose pieces in name order are its text."""
 
 from __future__ import annotations
 
@@ -18,18 +18,21 @@ def terminated(rows: DataFrame, separator: str) -> DataFrame:
     return rows.withColumn("text", F.concat("text", F.when(closes, separator).otherwise("\n")))
 
 
-def write_rows(rows: DataFrame, separator: str, target: str) -> None:
+def write_rows(rows: DataFrame, separator: str, target: str, tasks: int | None = None) -> None:
     """Range-partitioned by output file and position, so one file may span many tasks.
 
-    Spark ends each row with a line feed, so the last character of the separator is left to it.
-    The text of an output file ends with one separator more than the blocks need.
+    Each task writes its piece of a file to a folder piece=000000000042, twelve digits, so that names sort in
+    text order for any number of tasks. Spark ends each row with a line feed, so the last character of
+    the separator is left to it. The text of an output file ends with one separator more than the blocks need.
     """
     if not separator.endswith("\n"):
         raise ValueError("the separator must end with a line feed, the row end of the text sink")
-    lines = terminated(rows, separator).withColumn("text", F.expr("substr(text, 1, length(text) - 1)"))
     by = [F.col(c) for c in _ORDER]
+    lines = terminated(rows, separator).withColumn("text", F.expr("substr(text, 1, length(text) - 1)"))
+    dealt = lines.repartitionByRange(*by) if tasks is None else lines.repartitionByRange(tasks, *by)
     (
-        lines.repartitionByRange(*by).sortWithinPartitions(*by)
-        .select("project", "file_name", F.col("text").alias("value"))
-        .write.partitionBy("project", "file_name").option("lineSep", "\n").text(target)
+        dealt.sortWithinPartitions(*by)
+        .withColumn("piece", F.lpad(F.spark_partition_id().cast("string"), 12, "0"))
+        .select("project", "file_name", "piece", F.col("text").alias("value"))
+        .write.partitionBy("project", "file_name", "piece").option("lineSep", "\n").text(target)
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.sql import Column
+
 # The default exclude globs.
 DEFAULT_EXCLUDE = (
     "**/node_modules/**",
@@ -68,6 +70,7 @@ class DependencyScan:
     type: str = "dependency"
 
 
+KINDS = ("full", "pattern", "folder", "dependency")
 Scan = FullScan | PatternScan | FolderScan | DependencyScan
 
 
@@ -113,7 +116,7 @@ class Budget:
 class Output:
     mode: str = "single"
     file_name: str = DEFAULT_FILE_NAME
-    group_by: str = "reason"
+    group_by: str | Column = "reason"
     manifest: bool = True
     tree: bool = True
 
@@ -148,27 +151,22 @@ def check(spec: ExportSpec) -> list[tuple[str, str]]:
     """(place, message) of every bad setting."""
     found = []
     if spec.output.mode not in ("single", "multi"):
-        found.append(("output.mode", 'output.mode must be "single" or "multi"'))
-    if spec.output.group_by not in ("reason", "strategy", "folder", "custom"):
-        found.append(("output.group_by", "must be reason, strategy, folder or custom"))
+        found.append(("output.mode", f"unknown mode {spec.output.mode!r}; choose single or multi"))
+    by = spec.output.group_by
+    if not isinstance(by, Column) and by not in ("reason", "strategy", "folder", "custom"):
+        found.append(("output.group_by", "takes reason, strategy, folder, custom or a Column"))
     if not spec.format.separator.endswith("\n"):
         found.append(("format.separator", "must end with a line feed, the row end of the text sink"))
-    needs = {
-        "pattern": ("patterns", "Pattern strategy must provide patterns array"),
-        "folder": ("paths", "Folder strategy must provide paths array"),
-        "dependency": ("entry", "Dependency strategy must provide entry string"),
-    }
+    needs = {"pattern": ("patterns", "a list of globs"), "folder": ("paths", "a list of folders or files"),
+             "dependency": ("entry", "the path of a file")}
     for i, scan in enumerate(spec.strategies):
         if not isinstance(scan.name, str) or not scan.name:
-            found.append((f"strategies[{i}].name", "Strategy must have a string name"))
-        if scan.type not in ("full", "pattern", "folder", "dependency"):
-            found.append((
-                f"strategies[{i}].type",
-                'Strategy type must be "full", "pattern", "folder", or "dependency"',
-            ))
+            found.append((f"strategies[{i}].name", "every strategy is called by a name, which is text"))
+        if scan.type not in KINDS:
+            found.append((f"strategies[{i}].type", f"no strategy of kind {scan.type!r}; known are {', '.join(KINDS)}"))
         if scan.type in needs:
-            attribute, message = needs[scan.type]
+            attribute, what = needs[scan.type]
             value = getattr(scan, attribute)
             if not value or (attribute != "entry" and isinstance(value, str)):
-                found.append((f"strategies[{i}].{attribute}", message))
+                found.append((f"strategies[{i}].{attribute}", f"needs {what}"))
     return found

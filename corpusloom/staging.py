@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_open_scopes: list[list[str]] = []
+# The open scopes of this thread of work; another one's tables are not ours to remove.
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,7 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     target = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    for scope in _open_scopes:
+    for scope in _open_scopes.get():
         scope.append(target)
     df.write.option("compression", "zstd").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
@@ -49,11 +51,11 @@ def staged_tables(spark: SparkSession):
         kept.append(scope[-1])
         return table
 
-    _open_scopes.append(scope)
+    token = _open_scopes.set((*_open_scopes.get(), scope))
     try:
         yield keep
     finally:
-        _open_scopes.remove(scope)
+        _open_scopes.reset(token)
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for name in set(scope) - set(kept):
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
