@@ -3,35 +3,57 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import clean_root
+from corpusloom.operators.edges import IN_NODE_MODULES
 from corpusloom.operators.ordering import numbered
+from corpusloom.spec import DependencyScan
 from corpusloom.staging import stage
 
+def _limited(entries: DataFrame, max_depth: int) -> DataFrame:
+    """entries with `limits`, what its closure may take; all kinds of edges if they do not say."""
+    if "limits" in entries.columns:
+        return entries
+    return entries.withColumn("limits", F.struct(
+        F.lit(max_depth).alias("depth"), F.lit(True).alias("types"), F.lit(True).alias("modules")))
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    typed = edges if "type_only" in edges.columns else edges.withColumn("type_only", F.lit(False))
+    return typed.select("project", "src", "dst", "kind", "ord", "reason", "type_only")
+
+
+def _allowed() -> Column:
+    return ((F.col("limits.types") | ~F.col("type_only"))
+            & (F.col("limits.modules") | ~F.rlike("dst", F.lit(IN_NODE_MODULES))))
+
+
 def bounded_closure(entries: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(project, strategy, path, depth, reason) reached from entries (project, strategy, entry).
+    """(project, strategy, path, depth, reason, limits) reached from entries (project, strategy, entry).
 
-    Breadth first. The reason comes from the first discoverer in queue order; that order is
-    carried as the list of (kind, ord) steps from the entry, so no ranking over a level is
-    needed: the least list wins, by a minimum that merges before the shuffle.
+    Entries may bring their own limits (depth, types, modules), so any number of scans shares one chain
+    of joins; max_depth is then the largest depth. Breadth first. The reason comes from the first
+    discoverer in queue order; that order is carried as the list of (kind, ord) steps from the entry, so
+    no ranking over a level is needed: the least list wins, by a minimum that merges before the shuffle.
     """
     step = F.struct(F.col("kind").cast("int").alias("kind"), F.col("ord").cast("long").alias("ord"))
-    seen = entries.select(
+    seen = _limited(entries, max_depth).select(
         "project", "strategy", F.col("entry").alias("path"), F.lit(0).alias("depth"),
-        F.concat(F.lit("Entry file: "), "entry").alias("reason"),
+        F.concat(F.lit("Entry file: "), "entry").alias("reason"), "limits",
         F.array().cast("array<struct<kind: int, ord: bigint>>").alias("_trail"))
     frontier = seen
     for level in range(1, max_depth + 1):
         found = (
-            frontier.select("project", "strategy", F.col("path").alias("src"), "_trail")
-            .join(edges.select("project", "src", "dst", "kind", "ord", "reason"), ["project", "src"])
+            frontier.where(F.col("limits.depth") >= level)
+            .select("project", "strategy", F.col("path").alias("src"), "limits", "_trail")
+            .join(_steps(edges), ["project", "src"]).where(_allowed())
             .groupBy("project", "strategy", F.col("dst").alias("path"))
-            .agg(F.min(F.struct(F.concat("_trail", F.array(step)).alias("trail"), "reason")).alias("_first"))
+            .agg(F.min(F.struct(F.concat("_trail", F.array(step)).alias("trail"), "reason", "limits")).alias("_first"))
             .join(seen, ["project", "strategy", "path"], "left_anti")
             .select("project", "strategy", "path", F.lit(level).alias("depth"),
-                    F.col("_first.reason").alias("reason"), F.col("_first.trail").alias("_trail"))
+                    F.col("_first.reason").alias("reason"), F.col("_first.limits").alias("limits"), F.col("_first.trail").alias("_trail"))
         )
         frontier = stage(found)
         if frontier.isEmpty():
@@ -40,13 +62,14 @@ def bounded_closure(entries: DataFrame, edges: DataFrame, max_depth: int) -> Dat
     return seen.drop("_trail")
 
 
-def closure_edges(closure: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+def closure_edges(closure: DataFrame, edges: DataFrame) -> DataFrame:
     """(project, strategy, src, dst, turn): the edges that the walk may take, numbered per file.
 
     Files at the depth limit are kept but not expanded.
     """
-    opened = closure.where(F.col("depth") < max_depth).select("project", "strategy", F.col("path").alias("src"))
-    taken = opened.join(edges.select("project", "src", "dst", "kind", "ord"), ["project", "src"])
+    opened = closure.where(F.col("depth") < F.col("limits.depth")).select(
+        "project", "strategy", F.col("path").alias("src"), "limits")
+    taken = opened.join(_steps(edges), ["project", "src"]).where(_allowed())
     # A repeated edge counts where it is met first; self edges change nothing.
     return taken.where("src <> dst").groupBy("project", "strategy", "src", "dst").agg(
         F.min(F.struct(F.col("kind").cast("int").alias("kind"), F.col("ord").cast("long").alias("ord"))).alias("turn"))
@@ -122,15 +145,23 @@ def topo_order(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return _walked(entries, edges)
 
 
-def dependency_scan(files: DataFrame, strategy: str, entry: str, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """(project, strategy, path, depth, reason, topo_pos) of one entry path in every project that has it.
+def dependency_scans(files: DataFrame, scans, edges: DataFrame) -> DataFrame:
+    """(project, strategy, path, depth, reason, topo_pos) of all scans [(label, DependencyScan)] in one chain of
+    joins; strategy holds the label.
 
-    edges should be staged by the caller; they are read once per level. The entry may be written as
-    './src/main.ts'; one that leads out of the project has no closure.
+    edges should be staged by the caller; they are read once per level. An entry may be written as
+    './src/main.ts'; one that leads out of the project, or is not there, has no closure.
     """
-    entry = clean_root(entry)
-    entries = stage(files.where(F.col("path") == F.lit(entry)).select(
-        "project", F.lit(strategy).alias("strategy"), F.col("path").alias("entry")).distinct())
-    closure = stage(bounded_closure(entries, edges, depth))
-    order = topo_order(entries, closure_edges(closure, edges, depth))
-    return closure.join(order, ["project", "strategy", "path"])
+    wanted = [F.struct(F.lit(str(label)).alias("strategy"), F.lit(clean_root(scan.entry)).cast("string").alias("entry"), F.struct(
+        F.lit(scan.depth).alias("depth"), F.lit(scan.include_types).alias("types"),
+        F.lit(scan.include_node_modules).alias("modules")).alias("limits")) for label, scan in scans]
+    entries = stage(files.select("project", "path", F.inline(F.filter(F.array(*wanted), lambda w: w["entry"] == F.col("path"))))
+                    .select("project", "strategy", "entry", "limits").distinct())
+    closure = stage(bounded_closure(entries, edges, max(scan.depth for _, scan in scans)))
+    order = topo_order(entries, closure_edges(closure, edges))
+    return closure.drop("limits").join(order, ["project", "strategy", "path"])
+
+
+def dependency_scan(files: DataFrame, strategy: str, entry: str, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """dependency_scans for one entry and edges that are chosen already."""
+    return dependency_scans(files, [(strategy, DependencyScan(strategy, entry, depth=depth, include_node_modules=True))], edges)

@@ -20,6 +20,7 @@ _JS_ENDS = (".js", ".jsx", ".mjs", ".cjs")
 _TS_ENDS = (".ts", ".tsx", ".d.ts")
 
 IMPORT, CALL, MODULE = 0, 1, 2
+IN_NODE_MODULES = r"(^|/)node_modules/"
 
 _COMMENT = r"(?://[^\n]*+|/\*(?s:.*?)\*/)"
 _WORD = r"[\w$\s{},*\x{80}-\x{10FFFF}]"
@@ -276,7 +277,7 @@ def keep_edges(edges: DataFrame, include_types: bool = True, include_node_module
     if not include_types:
         edges = edges.where(~F.col("type_only"))
     if not include_node_modules:
-        edges = edges.where(~F.rlike("dst", F.lit(r"(^|/)node_modules/")))
+        edges = edges.where(~F.rlike("dst", F.lit(IN_NODE_MODULES)))
     return edges
 
 

@@ -32,10 +32,8 @@ def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
     dependent = [(i, s) for i, s in scans if isinstance(s, DependencyScan)]
     closures = {}
     if dependent:
-        graph = stage(edges.all_edges(files))
-        for i, scan in dependent:
-            kept = edges.keep_edges(graph, scan.include_types, scan.include_node_modules)
-            closures[i] = stage(closure.dependency_scan(files, scan.name, scan.entry, kept, scan.depth))
+        found = stage(closure.dependency_scans(files, dependent, stage(edges.all_edges(files))))
+        closures = {i: found.where(F.col("strategy") == str(i)) for i, _ in dependent}
     chosen = collect_files(files, scans, spec.filters, closures)
     for i, scan in dependent:
         if scan.symbols:

@@ -215,13 +215,19 @@ _MODULES = """modules as (
 _EDGES = """edges as (select * from (select * from resolved union all select * from modules) e
   where dst not like 'node_modules/%')"""
 _GRAPH = [_G, _RAW, _RESOLVED, _NEST, _MODULES, _EDGES]
-_CLOSURE = f"""walks(project, path, depth, trail, reason) as (
-  select project, path, 0, []::struct(kind int, ord bigint)[], 'Entry file: ' || path from graph where path = '{ENTRY}'
+
+
+def _closure(name: str, entry: str, depth: int, end: str = "", edges: str = "edges") -> str:
+    return f"""walks{end}(project, path, depth, trail, reason) as (
+  select project, path, 0, []::struct(kind int, ord bigint)[], 'Entry file: ' || path from graph where path = '{entry}'
   union all
   select w.project, e.dst, w.depth + 1, list_append(w.trail, {{'kind': e.kind, 'ord': e.ord}}), e.reason
-  from walks w join edges e on e.project = w.project and e.src = w.path where w.depth < 3),
-closure as (select project, 'feature' as strategy, path, min(depth) as depth,
-    arg_min(reason, {{'depth': depth, 'trail': trail}}) as reason from walks group by project, path)"""
+  from walks{end} w join {edges} e on e.project = w.project and e.src = w.path where w.depth < {depth}),
+closure{end} as (select project, '{name}' as strategy, path, min(depth) as depth,
+    arg_min(reason, {{'depth': depth, 'trail': trail}}) as reason from walks{end} group by project, path)"""
+
+
+_CLOSURE = _closure("feature", ENTRY, 3)
 _TOPO = f"""turns as (select e.project, e.src, e.dst, min({{'kind': e.kind, 'ord': e.ord}}) as turn
     from edges e join closure c on c.project = e.project and c.path = e.src where c.depth < 3 group by all),
 adjacent as (select project, src, list(dst order by turn) as outs from turns group by all),
@@ -252,6 +258,12 @@ def oracle_sql() -> dict[str, str]:
             ({_ext()} in ('.md', '.json') and path not like 'src/fr/%' and path not like '%5.md'))""")),
         "scan_dependency": _with(*_FULL_GRAPH, """select c.project, c.path, c.strategy, c.reason, t.topo_pos
             from closure c join topo t using (project, path)""", recursive=True),
+        "scan_dependency_many": _with(
+            *_GRAPH, _closure("all", ENTRY, 3, "_1"),
+            _closure("values", "src/m1/f01.ts", 1, "_2", "(select * from edges where not type_only)"),
+            _closure("packages", "src/m2/f02.ts", 2, "_3", "(select * from resolved union all select * from modules)"),
+            """select project, strategy, path, depth, reason from closure_1 union all select project, strategy, path, depth, reason
+            from closure_2 union all select project, strategy, path, depth, reason from closure_3""", recursive=True),
         "read_text": _digest("chr(65533) || content"),
         "detect_framework": _with(_G, """
             deps as (select project, coalesce(json_extract_string(content, '$.devDependencies."@nestjs/core"'),

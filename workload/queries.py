@@ -99,6 +99,19 @@ def scan_dependency(spark, sf_dir):
     return refs.select("project", "path", "strategy", "reason", "topo_pos")
 
 
+MANY = (("all", DependencyScan("all", "./" + adapters.ENTRY, depth=DEPTH)),
+        ("values", DependencyScan("values", "src/m1/f01.ts", depth=1, include_types=False)),
+        ("packages", DependencyScan("packages", "src/x/../m2/f02.ts", depth=2, include_node_modules=True)))
+
+
+@query
+def scan_dependency_many(spark, sf_dir):
+    """Three entries with their own depths and kinds of edges in one chain of joins."""
+    files = adapters.graph(spark, sf_dir)
+    return closure.dependency_scans(files, MANY, stage(edges.all_edges(files))).select(
+        "project", "strategy", "path", "depth", "reason")
+
+
 @query
 def read_text(spark, sf_dir):
     """Every text after a byte that is not UTF-8."""
@@ -439,7 +452,7 @@ def closure_bfs(spark, sf_dir):
     files, graph = _graph(spark, sf_dir)
     entries = files.where(F.col("path") == adapters.ENTRY).select(
         "project", F.lit("feature").alias("strategy"), F.col("path").alias("entry"))
-    return closure.bounded_closure(stage(entries), graph, DEPTH)
+    return closure.bounded_closure(stage(entries), graph, DEPTH).drop("limits")
 
 
 @query
@@ -456,7 +469,7 @@ def topo_order_joins(spark, sf_dir):
     entries = stage(files.where(F.col("path") == adapters.ENTRY).select(
         "project", F.lit("feature").alias("strategy"), F.col("path").alias("entry")))
     reached = stage(closure.bounded_closure(entries, graph, DEPTH))
-    return closure.topo_order_by_joins(entries, stage(closure.closure_edges(reached, graph, DEPTH)))
+    return closure.topo_order_by_joins(entries, stage(closure.closure_edges(reached, graph)))
 
 
 @query
