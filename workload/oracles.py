@@ -277,13 +277,14 @@ def oracle_sql() -> dict[str, str]:
             case when {_DOCS} then 'Pattern match: docs' else 'Full strategy: rest' end as reason
             from code where {_DOCS} or {_REST}"""),
         "filter_exclude": _code(f"""(path like '%/fr/%' or {_MIN} or regexp_matches(path, '^src/[^/]+/d[^/]*7[.]json$')) as excluded,
-            false as excluded_below"""),
+            (path like 'src/en/%' and regexp_matches(path, '(^src/en/[^/]*5[.]ts|/d[^/]*7[.]json)$')) as excluded_below"""),
         "filter_gitignore": _code(f"{_IGNORED} as ignored"),
         "filter_extension": _with(_C, f"select project, path from code where {_ext()} in ('.ts', '.js')"),
         "filter_binary": _code("strlen(content) < 8192 as is_binary"),
         "filter_size": _code("strlen(content) as size", " where strlen(content) <= 2048"),
-        "filter_depth": _with(_T, """select project, path, true as within_3, false as within_2,
-            path like 'c/000000/user/%' as direct from talks"""),
+        "filter_depth": _with(_C, """select project, 'c/' || repeat('d/', folders) || regexp_extract(path, '[^/]+$') as path,
+            folders <= 2 as within_3, folders <= 1 as within_2, folders = 0 as direct
+            from (select project, path, cast(strlen(content) % 5 as int) as folders from code) sized"""),
         "norm_path": _code("path as normal"),
         "resolve_path": _code("""path as same, case when path = '.gitignore' then null else regexp_extract(path, '[^/]+$') end as up,
             'lib/' || regexp_extract(path, '[^/]+$') as rooted"""),
@@ -308,7 +309,8 @@ def oracle_sql() -> dict[str, str]:
             cast(0 as bigint) as tokens_empty"""),
         "sizes": _with(_C, _CHOSEN, _WRAPPED, """select project, path, language, original_size, processed_size, tokens,
             md5(text) as digest from ordered"""),
-        "sort_paths": _code("row_number() over (partition by project order by path) as pos"),
+        "sort_paths": _with(_C, """select project, path, row_number() over (partition by project order by lower(path)) as pos
+            from (select project, case when path like '%s' then upper(path) else path end as path from code) capital"""),
         "dedup_first": _with(_C, _CHOSEN, "select project, path, strategy_idx, reason from chosen"),
         "output_order": _with(_C, _CHOSEN, """select project, path,
             row_number() over (partition by project order by strategy_idx, path) as ord from chosen"""),

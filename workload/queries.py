@@ -160,7 +160,7 @@ def select_strategies(spark, sf_dir):
 def filter_exclude(spark, sf_dir):
     files = adapters.code(spark, sf_dir)
     whole = select.globs.excluded(F.col("path"), ["fr", "**/*.min.*", "src/*/d*7.json"])
-    below = select.globs.excluded(F.col("path"), ["src/en", "en", "src/de/**"], "src/en")
+    below = select.globs.excluded(F.col("path"), ["src/en/*5.ts", "d*7.json", "en", "src/de/**"], "src/en")
     return files.select("project", "path", whole.alias("excluded"),
                         (F.startswith("path", F.lit("src/en/")) & below).alias("excluded_below"))
 
@@ -194,15 +194,13 @@ def filter_size(spark, sf_dir):
 
 @query
 def filter_depth(spark, sf_dir):
-    scan = FolderScan("shallow", paths=("c",), max_depth=3)
-    flat = FolderScan("flat", paths=("c/000000/user",), recursive=False)
-    files = adapters.talks(spark, sf_dir)
-    deep = FolderScan("deep", paths=("c",), max_depth=2)
-    return files.select(
-        "project", "path",
-        select.folder_target(scan, PLAIN).isNotNull().alias("within_3"),
-        select.folder_target(deep, PLAIN).isNotNull().alias("within_2"),
-        select.folder_target(flat, PLAIN).isNotNull().alias("direct"))
+    """Every file under c and none to four folders, by the size of its text."""
+    name = paths.base_name(F.col("path"))
+    files = adapters.code(spark, sf_dir).withColumn(
+        "path", F.concat(F.lit("c/"), F.repeat(F.lit("d/"), F.pmod(F.col("size"), F.lit(5)).cast("int")), name))
+    within = lambda **limit: select.folder_target(FolderScan("x", paths=("./c/",), **limit), PLAIN).isNotNull()
+    return files.select("project", "path", within(max_depth=3).alias("within_3"), within(max_depth=2).alias("within_2"),
+                        within(recursive=False).alias("direct"))
 
 
 # --- projections ---------------------------------------------------------------------------
@@ -323,7 +321,9 @@ def sizes(spark, sf_dir):
 
 @query
 def sort_paths(spark, sf_dir):
-    files = adapters.code(spark, sf_dir).select("project", "path")
+    """Names that end in s in capitals: by bytes these would come first."""
+    path = F.when(F.endswith("path", F.lit("s")), F.upper("path")).otherwise(F.col("path"))
+    files = adapters.code(spark, sf_dir).select("project", path.alias("path"))
     return numbered(files, ["project"], path_order(), "pos")
 
 
