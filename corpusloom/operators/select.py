@@ -15,7 +15,7 @@ from corpusloom.functions.ignore import ignored, parse_rules
 from corpusloom.functions.text import read_text
 from corpusloom.operators.ordering import spread_join
 from corpusloom.staging import stage
-from corpusloom.spec import DependencyScan, Filters, FolderScan, FullScan, PatternScan
+from corpusloom.spec import KINDS, DependencyScan, Filters, FolderScan, FullScan, PatternScan
 
 # Fixed value: bytes looked at for a NUL.
 SNIFF_BYTES = 8192
@@ -94,6 +94,30 @@ def folder_target(scan: FolderScan, filters: Filters) -> Column:
     return F.lit(None).cast("string") if found is None else found
 
 
+def _full(scan: FullScan, filters: Filters, columns):
+    return full_matches(scan, filters, columns), F.lit(f"Full strategy: {scan.name}")
+
+
+def _pattern(scan: PatternScan, filters: Filters, columns):
+    return pattern_matches(scan, filters), F.lit(f"Pattern match: {scan.name}")
+
+
+def _folder(scan: FolderScan, filters: Filters, columns):
+    kind = folder_target(scan, filters)
+    return kind.isNotNull(), F.concat(F.lit("Folder "), kind, F.lit(f": {scan.name}"))
+
+
+# Class of a strategy -> function of (scan, filters, columns of files) that gives two Columns over a
+# row of files: whether the strategy takes it, and why.
+MATCHERS = {FullScan: _full, PatternScan: _pattern, FolderScan: _folder}
+
+
+def register_strategy(kind: type, matcher) -> None:
+    """Add a strategy of one's own: a dataclass with name and type, and its matcher."""
+    MATCHERS[kind] = matcher
+    KINDS.add(kind.type)
+
+
 def needs_ignore(scans, filters: Filters) -> bool:
     return filters.respect_gitignore and any(
         isinstance(s, FullScan) and s.respect_gitignore for s in scans)
@@ -111,15 +135,7 @@ def collect_files(files: DataFrame, scans, filters: Filters, closures=None) -> D
     picks = []
     for i, scan in scans:
         topo = F.lit(0)
-        if isinstance(scan, FullScan):
-            matches, reason = full_matches(scan, filters, columns), F.lit(f"Full strategy: {scan.name}")
-        elif isinstance(scan, PatternScan):
-            matches, reason = pattern_matches(scan, filters), F.lit(f"Pattern match: {scan.name}")
-        elif isinstance(scan, FolderScan):
-            kind = folder_target(scan, filters)
-            matches = kind.isNotNull()
-            reason = F.concat(F.lit("Folder "), kind, F.lit(f": {scan.name}"))
-        elif isinstance(scan, DependencyScan):
+        if isinstance(scan, DependencyScan):
             closure = closures[i].select(
                 "project", "path", F.col("reason").alias(f"_why{i}"), F.col("topo_pos").alias(f"_topo{i}"))
             # Alone, the closure decides; next to other strategies all files stay in play.
@@ -128,8 +144,10 @@ def collect_files(files: DataFrame, scans, filters: Filters, closures=None) -> D
             if scan.exclude:
                 matches = matches & ~globs.excluded(F.col("path"), scan.exclude)
             reason, topo = F.col(f"_why{i}"), F.col(f"_topo{i}")
+        elif type(scan) in MATCHERS:
+            matches, reason = MATCHERS[type(scan)](scan, filters, columns)
         else:
-            raise TypeError(f"unknown strategy: {scan!r}")
+            raise TypeError(f"no matcher is registered for {type(scan).__name__}")
         picks.append(F.when(matches, F.struct(
             F.lit(i).alias("strategy_idx"), F.lit(scan.name).alias("strategy"),
             reason.alias("reason"), topo.cast("long").alias("topo_pos"))))

@@ -175,12 +175,19 @@ def write_preview(files: DataFrame, spec: ExportSpec, target: str, names=None) -
     write_rows(rows, spec.format.separator, target)
 
 
+def output_files(rows: DataFrame) -> DataFrame:
+    """(project, file_name, bytes) of every file that an export writes, separators left out."""
+    return rows.groupBy("project", "file_name").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
 def export(spark: SparkSession, files: DataFrame, spec: ExportSpec, target: str, names=None) -> DataFrame:
-    """Write every output file below target and return the summary per project.
+    """Write every output file below target and return the summary per project, with the number of its files.
 
-    The intermediate tables are removed at the end; the summary is kept.
+    The intermediate tables are removed at the end; the summary is kept. output_files lists the files.
     """
     with staged_tables(spark) as keep:
         m = measure(files, spec, names)
-        write_rows(placed_rows(m, spec), spec.format.separator, target)
-        return keep(summary(m))
+        rows = placed_rows(m, spec)
+        write_rows(rows, spec.format.separator, target)
+        count = rows.groupBy("project").agg(F.count_distinct("file_name").alias("output_files"))
+        return keep(summary(m).join(count, "project", "left").fillna(0))

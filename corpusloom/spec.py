@@ -70,7 +70,8 @@ class DependencyScan:
     type: str = "dependency"
 
 
-KINDS = ("full", "pattern", "folder", "dependency")
+# Kinds of strategies; select.register_strategy adds to them.
+KINDS = {"full", "pattern", "folder", "dependency"}
 Scan = FullScan | PatternScan | FolderScan | DependencyScan
 
 
@@ -163,7 +164,7 @@ def check(spec: ExportSpec) -> list[tuple[str, str]]:
         if not isinstance(scan.name, str) or not scan.name:
             found.append((f"strategies[{i}].name", "every strategy is called by a name, which is text"))
         if scan.type not in KINDS:
-            found.append((f"strategies[{i}].type", f"no strategy of kind {scan.type!r}; known are {', '.join(KINDS)}"))
+            found.append((f"strategies[{i}].type", f"no strategy of kind {scan.type!r}; known are {', '.join(sorted(KINDS))}"))
         if scan.type in needs:
             attribute, what = needs[scan.type]
             value = getattr(scan, attribute)

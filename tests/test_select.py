@@ -1,5 +1,9 @@
+from dataclasses import dataclass
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import select
 from corpusloom.spec import (DependencyScan, ExportSpec, Filters, FolderScan, FullScan, Output, PatternScan)
 from tests.helpers import PLAIN, corpus
@@ -69,6 +73,21 @@ def test_row_wise_scans_do_not_shuffle(spark):
     assert "Exchange" not in plan
 
 
+def test_a_strategy_of_ones_own(spark):
+    @dataclass(frozen=True)
+    class LargeScan:
+        name: str
+        least: int
+        type: str = "large"
+
+    with pytest.raises(ValueError, match="type"):
+        ExportSpec(strategies=(LargeScan("big", 2),))
+    select.register_strategy(LargeScan, lambda scan, filters, columns: (F.col("size") >= scan.least, F.lit(f"Large: {scan.name}")))
+    spec = ExportSpec(strategies=(LargeScan("big", 2), FullScan("rest")))
+    found = select.collect_files(corpus(spark, {"a": "x", "b": "xyz"}), spec.selected(), PLAIN).collect()
+    assert sorted((r.path, r.reason) for r in found) == [("a", "Full strategy: rest"), ("b", "Large: big")]
+
+
 def test_strategies_by_name():
     spec = ExportSpec(strategies=(FullScan("a"), FullScan("b"), FullScan("c")))
     assert [s.name for _, s in spec.selected(["c", "a", "zzz"])] == ["a", "c"]
