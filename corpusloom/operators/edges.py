@@ -104,15 +104,42 @@ def module_keys(files: DataFrame) -> DataFrame:
     ).select("project", "key", "rank", "dst")
 
 
-def path_aliases(files: DataFrame) -> DataFrame:
-    """(project, aliases) from compilerOptions.paths and baseUrl of the root tsconfig.json."""
+def _settings(files: DataFrame) -> DataFrame:
+    """(project, path, base, paths, folder, parent) of every JSON file with compilerOptions: the folder of its
+    baseUrl, its paths and its own folder, and the file it extends."""
     # Comments and trailing commas are allowed there; a string may well hold /* or //.
     bare = F.regexp_replace(read_text(F.col("content")), r'("[^"\n]*")|//[^\n]*|/\*(?s:.*?)\*/', "$1")
     parsed = F.from_json(
         F.regexp_replace(bare, r",(\s*[}\]])", "$1"),
-        "struct<compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>>")
-    options = F.col("_o")
-    base = F.coalesce(options["baseUrl"], F.lit("."))
+        "struct<extends: string, compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>>")
+    folder, options = parent_dir(F.col("path")), F.col("_o.compilerOptions")
+    named = F.when(F.endswith("_o.extends", F.lit(".json")), F.col("_o.extends")).otherwise(F.concat("_o.extends", F.lit(".json")))
+    return files.where(F.endswith("path", F.lit(".json")) & (
+        (F.col("path") == "tsconfig.json") | F.contains("content", F.lit(bytearray(b"compilerOptions"))))).select(
+        "project", "path", parsed.alias("_o")).select(
+        "project", "path", resolve_path(options["baseUrl"], folder).alias("base"), options["paths"].alias("paths"),
+        folder.alias("folder"), F.when(F.rlike("_o.extends", F.lit(r"\A(?:\.{1,2})?/")), resolve_path(named, folder)).alias("parent"))
+
+
+def path_aliases(files: DataFrame) -> DataFrame:
+    """(project, aliases) from compilerOptions.paths and baseUrl of the root tsconfig.json and the files of the
+    project that it extends, the nearest first. Each round follows all projects one file further."""
+    known = stage(_settings(files))
+    found = known.where("path = 'tsconfig.json'").withColumn("trail", F.array("path"))
+    while True:
+        missing = F.col("parent").isNotNull() & (F.col("base").isNull() | F.col("paths").isNull())
+        if found.where(missing).isEmpty():
+            break
+        above = known.select("project", F.col("path").alias("parent"), F.struct("base", "paths", "folder", "parent").alias("up"))
+        joined = found.withColumn("parent", F.when(missing, F.col("parent"))).join(above, ["project", "parent"], "left")
+        found = stage(joined.select(
+            "project", "path", F.coalesce("base", "up.base").alias("base"),
+            F.when(F.col("paths").isNull() & F.col("up.paths").isNotNull(), F.col("up.folder")).otherwise(F.col("folder")).alias("folder"),
+            F.coalesce("paths", "up.paths").alias("paths"),
+            # A file that comes a second time ends the chain.
+            F.when(~F.array_contains("trail", F.col("up.parent")), F.col("up.parent")).alias("parent"),
+            F.when(F.col("up.parent").isNotNull(), F.array_append("trail", F.col("up.parent"))).otherwise(F.col("trail")).alias("trail")))
+    root = F.coalesce("base", "folder")
 
     def alias(key: Column, targets: Column) -> Column:
         starred = F.contains(key, F.lit("*"))
@@ -120,14 +147,13 @@ def path_aliases(files: DataFrame) -> DataFrame:
             F.substring_index(key, "*", 1).alias("head"),
             F.when(starred, F.substring_index(key, "*", -1)).otherwise("").alias("tail"),
             starred.alias("starred"),
-            F.transform(targets, lambda t: F.concat_ws("/", base, t)).alias("targets"))
+            F.transform(targets, lambda t: F.when(root == "", t).otherwise(F.concat_ws("/", root, t))).alias("targets"))
 
     listed = F.transform(
-        F.map_entries(F.coalesce(options["paths"], F.create_map().cast("map<string,array<string>>"))),
+        F.map_entries(F.coalesce("paths", F.create_map().cast("map<string,array<string>>"))),
         lambda e: alias(e["key"], e["value"]))
     anywhere = F.array(alias(F.lit("*"), F.array(F.lit("*"))))
-    return files.where("path = 'tsconfig.json'").select("project", parsed["compilerOptions"].alias("_o")).select(
-        "project", F.when(options["baseUrl"].isNotNull(), F.concat(listed, anywhere)).otherwise(listed).alias("_aliases"))
+    return found.select("project", F.when(F.col("base").isNotNull(), F.concat(listed, anywhere)).otherwise(listed).alias("_aliases"))
 
 
 def _step(kind, within, turn) -> Column:
