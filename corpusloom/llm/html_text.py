@@ -173,18 +173,35 @@ def main_text(page: str, template: set[int]) -> str:
     root = parse(page)
     gone = {id(node) for node, digest in candidates(root) if digest in template} if template else set()
 
-    def out_of(node: Node) -> bool:
+    def named(node: Node) -> bool:
+        """Whether a class, id or role says that this is no main text."""
+        if node.tag in ("html", "body", *MAIN) or not node.attributes:
+            return False
+        names = node.names()
+        return bool(names & NAMED) or "hidden" in names
+
+    def out_of(node: Node, by_name=named) -> bool:
         if id(node) in gone or node.tag in DROPPED:
             return True
-        if node.tag == "header" and not _has(node, frozenset(("h1", "h2"))):
-            return True
-        return node.tag not in ("html", "body") and node.tag not in MAIN and bool(node.attributes) and bool(
-            (names := node.names()) & NAMED or "hidden" in names)
+        return by_name(node) or node.tag == "header" and not _has(node, frozenset(("h1", "h2")))
 
-    def roots(node: Node, tag: str) -> list[Node]:
+    def roots(node: Node, tag: str, by_name) -> list[Node]:
         if node.tag == tag:
             return [node]
-        return [r for c in node.children if not isinstance(c, str) and not out_of(c) for r in roots(c, tag)]
+        return [r for c in node.children if not isinstance(c, str) and not out_of(c, by_name) for r in roots(c, tag, by_name)]
+
+    def wrapped(node: Node) -> bool:
+        """A wrapper may be called after the sidebar next to what it wraps."""
+        return named(node) and not _has(node, MAIN)
+
+    tops: list[Node] = []
+    for by_name in (named, wrapped):
+        tops = tops or roots(root, "article", by_name) or roots(root, "main", by_name)
+    keeps = named
+    if not tops:
+        # Without an article what holds most of the text is not dropped for its name.
+        tops, whole = [root], _letters(root)
+        keeps = lambda node: named(node) and 2 * _letters(node) <= whole
 
     blocks: list[list[str]] = [[]]
 
@@ -197,12 +214,12 @@ def main_text(page: str, template: set[int]) -> str:
                 blocks[-1].append(child)
             elif child.tag == "br":
                 blocks[-1].append(" ")
-            elif not out_of(child):
+            elif not out_of(child, keeps):
                 walk(child)
         if block:
             blocks.append([])
 
-    for top in roots(root, "article") or roots(root, "main") or [root]:
+    for top in tops:
         walk(top)
     texts = (_BLANK.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
     return "\n".join(filter(None, texts))

@@ -36,6 +36,13 @@ def test_no_article_falls_back_to_main_then_body():
     assert one("<body><p>out</p><nav>n</nav></body>") == "out"
 
 
+def test_wrappers_named_after_what_is_beside():
+    assert one("<div class='page with-sidebar'><div class=sidebar>s</div><article><p>t</p></article></div>") == "t"
+    assert one("<div id=wrap-nav-menu><p>all of the text is in here</p><div class='ad'>x</div></div>") == "all of the text is in here"
+    comments = "<section class=comments><article class=comment><p>me too</p></article></section>"
+    assert one(f"<div class=wrap><article><p>t</p></article>{comments}</div>") == "t"
+
+
 def site(n, host="h.example"):
     """Pages without an article, whose template only its recurrence tells."""
     rows = []
