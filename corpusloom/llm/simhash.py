@@ -15,6 +15,8 @@ from corpusloom.llm.rows import map_slices, octets
 from corpusloom.staging import stage
 
 BITS = 64
+# Fingerprints that may share a segment before their other bits are looked at.
+CROWDED = 256
 _CHUNK = 1 << 16
 
 
@@ -49,40 +51,70 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_slices(docs.select("doc_id", octets().alias("text")), "text", "doc_id long, fp long", make)
 
 
-def _segments(distance: int) -> list[tuple[int, int]]:
+def _segments(distance: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, width) of the fewest segments of which one differs by at most one bit."""
     n = distance // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
+    cuts = [bits * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _segment(first: int, width: int) -> Column:
+def _bits(first: int, width: int, of: Column) -> Column:
     if width == BITS:
-        return F.col("fp")
-    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        return of
+    return F.shiftrightunsigned(of, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
+def _listed(cut: list[tuple[int, int]], of: Column, no: str, part: str) -> Column:
+    """The segments of some bits, one struct (no, part, w) each."""
+    return F.array(*[F.struct(F.lit(i).alias(no), _bits(a, w, of).alias(part), F.lit(w).alias("w"))
+                     for i, (a, w) in enumerate(cut)])
+
+
+def _variants(part: str) -> Column:
+    """A segment of w bits itself and with each one of its set bits deleted."""
+    return F.expr(f"array_distinct(concat(array({part}), transform(sequence(0, w - 1), i -> {part} & ~shiftleft(1L, i))))")
+
+
+def links(distinct: DataFrame, distance: int = 2, crowded: int = CROWDED) -> DataFrame:
     """(a, b), a < b: pairs of different fingerprints of the column fp with at most `distance` differing bits.
 
     distance // 2 + 1 segments leave one that differs by at most one bit. Of two segments that
     differ in one bit, the one that has the bit, with that bit deleted, equals the other. So the
     index holds every segment with none or one of its set bits deleted (the one-wildcard
     variants without repeats), and the segments themselves look it up by equality.
+
+    A segment that more than `crowded` fingerprints share, as in a large group of near copies, would
+    compare each with all. There the other bits are cut in the same way, and two fingerprints meet only
+    if they also share a variant of one of these smaller segments.
     """
     cut = _segments(distance)
-    index = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(no).alias("no"), _segment(a, w).alias("part"), F.lit(w).alias("w"))
-        for no, (a, w) in enumerate(cut)])).alias("s")).select("fp", "s.*")
-    index = index.select("no", F.explode(F.expr(
-        "array_distinct(concat(array(part), transform(sequence(0, w - 1), i -> part & ~shiftleft(1L, i))))")).alias("part"),
-        F.col("fp").alias("x"))
-    probe = distinct.select(F.col("fp").alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(no).alias("no"), _segment(a, w).alias("part")) for no, (a, w) in enumerate(cut)])).alias("s")
-    ).select("y", "s.no", "s.part")
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance
-    return (index.join(probe, ["no", "part"]).where((F.col("x") != F.col("y")) & near)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    probe = distinct.select(F.col("fp").alias("y"), F.inline(_listed(cut, F.col("fp"), "no", "part"))).drop("w")
+    index = distinct.select(F.col("fp").alias("x"), F.inline(_listed(cut, F.col("fp"), "no", "part"))).select(
+        "x", "no", F.explode(_variants("part")).alias("part"))
+    # Fewer rows than fingerprints / crowded for each segment.
+    full = stage(probe.groupBy("no", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).drop("n"))
+
+    def inner(rows: DataFrame, fp: str) -> DataFrame:
+        """Rows at crowded segments, once for each variant of each smaller segment of their other bits."""
+        others = None
+        for i, (a, w) in enumerate(cut):
+            # The bits above and below the segment, side by side.
+            high = BITS - a - w
+            rest = (F.shiftleft(_bits(a + w, high, F.col(fp)), a) if high else F.lit(0).cast("long")).bitwiseOR(
+                _bits(0, a, F.col(fp)) if a else F.lit(0).cast("long"))
+            found = _listed(_segments(distance, BITS - w), rest, "in_no", "in_part")
+            others = F.when(F.col("no") == i, found) if others is None else others.when(F.col("no") == i, found)
+        if len(cut) == 1:
+            # All bits are in the one segment: nothing is left to cut.
+            others = F.array(F.struct(F.lit(0).alias("in_no"), F.lit(0).cast("long").alias("in_part"), F.lit(1).alias("w")))
+        return rows.join(full, ["no", "part"], "left_semi").select(fp, "no", "part", F.inline(others)).select(
+            fp, "no", "part", "in_no", F.explode(_variants("in_part")).alias("in_part"))
+
+    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    plain = index.join(full, ["no", "part"], "left_anti").join(probe.join(full, ["no", "part"], "left_anti"), ["no", "part"])
+    close = inner(index, "x").join(inner(probe, "y"), ["no", "part", "in_no", "in_part"])
+    return plain.where(near).select(*pair).union(close.where(near).select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:

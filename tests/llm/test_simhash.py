@@ -68,10 +68,23 @@ def test_links_find_every_near_pair(spark):
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
     for distance in (0, 1, 2, 3, 4):
         got = {(r.a, r.b) for r in simhash.links(df, distance).collect()}
+        assert got == {(r.a, r.b) for r in simhash.links(df, distance, crowded=2).collect()}
         want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= distance}
         assert got == want
 
 
+def test_a_crowded_segment_is_cut_further(spark):
+    rng = random.Random(6)
+    low, spots = 0x9E3779B9, rng.sample(range(32, 64), 14)
+    prints = {low | sum(1 << b for b in spots if rng.random() < 0.5) for _ in range(900)}
+    prints |= {p ^ (1 << rng.randrange(32)) for p in rng.sample(sorted(prints), 80)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 2}
+    for crowded in (10, 300, 10_000):
+        assert {(r.a, r.b) for r in simhash.links(df, 2, crowded).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(200))
     random.Random(3).shuffle(order)
