@@ -53,8 +53,8 @@ def text_counts(text: bytes) -> tuple[int, ...]:
             among(_UPPER), among(_DIGITS), among(_MARKS), len(lines), len(set(words)), max(map(len, words), default=0))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, texts as bytes, and COUNTS; columns of these names are replaced."""
+def with_counts(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The documents with all their columns and COUNTS of a text (the column `text`); columns of these names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in COUNTS]
 
     def make():
@@ -68,7 +68,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     probe = unused("_octets", docs)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
     schema = ", ".join([*fields, *(f"{c} long" for c in COUNTS)])
-    return map_slices(docs.select(*kept, octets().alias(probe)), probe, schema, make)
+    return map_slices(docs.select(*kept, (octets() if text is None else text).alias(probe)), probe, schema, make)
 
 
 def base_failed() -> Column:
@@ -219,6 +219,8 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    return judge(inner, labels, sample, **options).where("kept").select("_row.*")
+    """The documents that are kept, with their own columns; otherwise as judge()."""
+    rules = learn_rules(docs, labels, sample, **options)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    counted = with_counts(rows, F.coalesce(F.col("_row.text").cast("binary"), F.lit(b"")))
+    return counted.where(~base_failed() & rejected_by(rules).isNull()).select("_row.*")
