@@ -16,6 +16,8 @@ from corpusloom.llm.rows import map_slices, unused
 from corpusloom.staging import stage
 
 MIN_PAGES = 5
+# Template is on a hundredth of a host's pages at least, prose that counts as template on more than half of them.
+LEAST_SHARE, PROSE_SHARE = 0.01, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _BLANK = re.compile(r"\s+")
@@ -150,6 +152,17 @@ def _candidate(node: Node, inside: bool) -> bool:
     return node.tag not in PROSE and not _has(node, PROSE - {"li"}) and 2 * _letters(node, True) > _letters(node)
 
 
+def _within(node: Node, inside: bool = False) -> int:
+    """Letters that are in headings, paragraphs and the like."""
+    inside = inside or node.tag in PROSE
+    return sum((len(c.strip()) if inside else 0) if isinstance(c, str) else _within(c, inside) for c in node.children)
+
+
+def prose(node: Node) -> bool:
+    """Whether an element is prose or holds mostly prose."""
+    return node.tag in PROSE or 0 < _letters(node) < 2 * _within(node)
+
+
 def candidates(root: Node) -> list[tuple[Node, int]]:
     """(element, hash) of every element that is template if it recurs."""
     digests: dict[int, int] = {}
@@ -234,27 +247,35 @@ def _host():
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(page_no, hashes) from (page_no, host, html): the hashes of subtrees of a page that min_pages different pages of its host have."""
+    """(page_no, hashes) from (page_no, host, html): the hashes of subtrees of a page that min_pages different pages of its
+    host have, and a share of them: for prose more than PROSE_SHARE, else LEAST_SHARE or more."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [list({d for _, d in candidates(parse(_page(p)))}) for p in batch.column("html").to_pylist()]
+            found = [dict((d, prose(node)) for node, d in candidates(parse(_page(p)))) for p in batch.column("html").to_pylist()]
+            # A row without a hash stands for the page.
+            listed = [[{"hash": None, "prose": False}, *({"hash": d, "prose": q} for d, q in f.items())] for f in found]
             return pa.RecordBatch.from_arrays(
-                [batch.column("page_no"), batch.column("host"), pa.array(found, pa.list_(pa.int64()))], ["page_no", "host", "hashes"])
+                [batch.column("page_no"), batch.column("host"), pa.array(listed, pa.list_(pa.struct([("hash", pa.int64()), ("prose", pa.bool_())])))],
+                ["page_no", "host", "found"])
         return each
 
-    found = map_slices(pages, "html", "page_no long, host string, hashes array<long>", make)
-    rows = stage(found.select("page_no", "host", F.explode("hashes").alias("hash")).distinct())
-    often = rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).drop("n")
+    found = map_slices(pages, "html", "page_no long, host string, found array<struct<hash long, prose boolean>>", make)
+    rows = stage(found.select("page_no", "host", F.inline("found")).distinct())
+    totals = rows.where("hash is null").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    often = rows.where("hash is not null").groupBy("host", "hash").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("prose").alias("prose")).where(F.col("n") >= min_pages)
+    often = often.join(totals.hint("merge"), "host").where(F.when(F.col("prose"), F.col("n") > PROSE_SHARE * F.col("pages")).otherwise(
+        F.col("n") >= LEAST_SHARE * F.col("pages"))).select("host", "hash")
     # A subtree of a large host is on very many pages: a plain merge join, whose large keys Spark splits.
-    return rows.join(often.hint("merge"), ["host", "hash"]).groupBy("page_no").agg(F.collect_set("hash").alias("hashes"))
+    return rows.drop("prose").join(often.hint("merge"), ["host", "hash"]).groupBy("page_no").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text): the main text of every page, empty if there is none.
 
     Element subtrees are hashed, their pages counted per host, and those on min_pages pages or more are
-    deleted, see main_text. Null html is an empty page, pages without a url share one host. Copies of a page on its host
+    deleted if they are on a share of the host's pages too, see template_subtrees and main_text. Null html is an empty page, pages without a url share one host. Copies of a page on its host
     count as one page, so that what is copied is not taken for template; all rows come back, repeated ones too. An empty
     table gives an empty result. Pages are compressed for the one shuffle that brings them their hashes.
     """

@@ -87,3 +87,10 @@ def test_repeated_rows_and_empty_table(spark):
     got = html_text.extract(frame(spark, rows, PAGES))
     assert [r.text for r in got.collect()] == [TEXT] * 3
     assert html_text.extract(frame(spark, [], PAGES)).count() == 0
+
+
+def test_prose_outside_articles_goes_only_from_most_pages(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div>bar</div>{'<h2>Introduction</h2><p>Common text.</p>' * (i < 6)}<p>Page {i}</p></body>")
+            for i in range(12)]
+    got = run(spark, rows)
+    assert got[3] == "Introduction\nCommon text.\nPage 3" and got[9] == "Page 9"
