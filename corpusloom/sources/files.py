@@ -82,8 +82,8 @@ def _read_contents(root: str):
                 try:
                     with system.open_input_file("/".join((base.rstrip("/"), project, path))) as f:
                         data = f.read()
-                except OSError:
-                    continue  # an unreadable file has no row
+                except (FileNotFoundError, PermissionError):
+                    continue  # a file that is gone or forbidden has no row; after other errors Spark tries again
                 rows.append((project, path, data, len(data)))
                 held += len(data)
                 if held >= _BATCH_BYTES:

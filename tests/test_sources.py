@@ -1,5 +1,7 @@
 import os
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources import files as sources
@@ -66,3 +68,21 @@ def test_staged_rows_are_read_back_by_column(spark):
     assert "ReadSchema: struct<id:bigint>" in plan
     assert staged.count() == 10
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class Failing:
+    def __init__(self, error):
+        self.error = error
+
+    def open_input_file(self, path):
+        raise self.error
+
+
+def test_only_missing_or_forbidden_files_have_no_row(monkeypatch):
+    batch = pd.DataFrame({"project": ["p"], "path": ["a"]})
+    for error in (FileNotFoundError("gone"), PermissionError("forbidden")):
+        monkeypatch.setattr(sources, "opened", lambda root, error=error: (Failing(error), root))
+        assert list(sources._read_contents("/r")([batch])) == []
+    monkeypatch.setattr(sources, "opened", lambda root: (Failing(TimeoutError("slow store")), root))
+    with pytest.raises(TimeoutError):
+        list(sources._read_contents("/r")([batch]))
