@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html_text, line_dedup, mixing, quality, secret_scan, simhash, substrings, token_files, winnow
+from corpusloom.llm import bpe, html_text, line_dedup, merkle, mixing, quality, secret_scan, simhash, substrings, token_files, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -62,9 +62,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(_table(spark, sf_dir))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.audit_documents(_table(spark, sf_dir), tampered, {"n_chars": F.col("n_chars") + 1})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_winnowing, op5_quality_rules, op6_bpe,
-                            op7_token_files, op8_substring_dedup, op9_html_text, op10_secret_scan)}
+                            op7_token_files, op8_substring_dedup, op9_html_text, op10_secret_scan, op13_merkle)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -116,4 +121,65 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from marked group by doc_id, n
 """
 
-ORACLES = {"op2_mixing": MIXING_SQL, "op3_line_dedup": LINES_SQL}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text."""
+    bits = "list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: cast(ord(c) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {codes}), lambda crc, byte: {bits}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, (
+        "cast(doc_id as varchar)", "source", "lang", f"cast({n_chars} as varchar)", "text"))) + ")"
+
+
+MERKLE_SQL = f"""
+with recursive
+found as (
+  select doc_id, lang, {_leaf('n_chars')} as leaf,
+    case when {_crc32("cast(doc_id as varchar)")} % 7 = 0 then {_leaf('(n_chars + 1)')} end as claimed
+  from documents),
+placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from found),
+nodes as (
+  select lang, 0 as level, pos, n, leaf as digest from placed
+  union all
+  select lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos))
+  from nodes where n > 1 group by lang, level, pos // 2, n),
+subroots as (
+  select lang, digest, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, pos, n, digest from subroots
+  union all
+  select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos)) from tops where n > 1 group by level, pos // 2, n),
+ups as (select placed.*, s.pos as tree_pos, s.digest as subroot from placed join subroots s on placed.lang is not distinct from s.lang),
+steps as (
+  select doc_id, leaf, ups.lang, ups.pos, 0 as part, level, (ups.pos >> level) & 1 as right_side, null as sibling
+  from ups, (select distinct lang, level from nodes where n > 1) l where l.lang is not distinct from ups.lang
+  union all
+  select doc_id, leaf, ups.lang, ups.pos, 1, level, (ups.tree_pos >> level) & 1, null
+  from ups, (select distinct level from tops where n > 1)),
+siblings as (
+  select s.lang, s.pos, s.part, s.level, s.right_side, coalesce(nodes.digest, tops.digest, '') as digest
+  from steps s join ups on ups.lang is not distinct from s.lang and ups.pos = s.pos
+  left join nodes on s.part = 0 and nodes.lang is not distinct from s.lang and nodes.level = s.level and nodes.pos = xor(s.pos >> s.level, 1)
+  left join tops on s.part = 1 and tops.level = s.level and tops.pos = xor(ups.tree_pos >> s.level, 1)),
+paths as (
+  select lang, pos, string_agg(digest, '' order by part, level) as proof,
+    list(right_side || digest order by part, level) as steps
+  from siblings group by lang, pos),
+folded as (
+  select doc_id, leaf, subroot, (select digest from tops where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256,
+    list_reduce(list_concat([coalesce(claimed, leaf)], coalesce(steps, [])), lambda h, s:
+      sha256(case when s[1] = '1' then s[2:] || h else h || s[2:] end)) as folded_root
+  from ups left join paths on paths.lang is not distinct from ups.lang and paths.pos = ups.pos)
+select *, folded_root = root as verified from folded
+"""
+
+ORACLES = {"op2_mixing": MIXING_SQL, "op3_line_dedup": LINES_SQL, "op13_merkle": MERKLE_SQL}

@@ -48,6 +48,11 @@ def octets(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
+def present(value: Column) -> Column:
+    """A value as text that is never null; text sorts as before, null first."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}
