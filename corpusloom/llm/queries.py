@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html_text, line_dedup, merkle, mixing, quality, secret_scan, simhash, substrings, token_files, winnow
+from corpusloom.llm import bpe, conversation_repair, html_text, line_dedup, merkle, mixing, quality, secret_scan, simhash, substrings, token_files, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -62,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(_table(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.audit_documents(_table(spark, sf_dir), tampered, {"n_chars": F.col("n_chars") + 1})
@@ -69,7 +73,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_winnowing, op5_quality_rules, op6_bpe,
-                            op7_token_files, op8_substring_dedup, op9_html_text, op10_secret_scan, op13_merkle)}
+                            op7_token_files, op8_substring_dedup, op9_html_text, op10_secret_scan, op12_conversation_repair, op13_merkle)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -182,4 +186,80 @@ folded as (
 select *, folded_root = root as verified from folded
 """
 
-ORACLES = {"op2_mixing": MIXING_SQL, "op3_line_dedup": LINES_SQL, "op13_merkle": MERKLE_SQL}
+
+def _edit(weight: str, cost: str, letter: str) -> str:
+    """A weight, six digits of cost and then the letters, with an edit more."""
+    return f"lpad(cast(cast(left({weight}, 6) as int) + {cost} as varchar), 6, '0') || {weight}[7:] || '{letter}'"
+
+
+def _inserted(rows: str) -> str:
+    k0, k1, k2, k3 = (_edit(f"k{q}", "2", "I") for q in range(4))
+    return (f"select * replace (least(k2, {k0}, {k1}, {k3}) as k2, least(k3, {k2}) as k3) from ({rows})")
+
+
+def _kept(role: str, *froms: str) -> list[str]:
+    """What leads to a state: the row kept, if it has the role, or reroled."""
+    keep = [f"case when fault < 2 and initial = '{role}' then {_edit(k, 'fault', 'K')} end" for k in froms]
+    return keep if role == "s" else keep + [f"case when fault < 2 then {_edit(k, '2 + fault', 'R')} end" for k in froms]
+
+
+def _deleted(k: str) -> str:
+    return _edit(k, "3", "D")
+
+
+CONVERSATION_SQL = f"""
+with recursive
+fated as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))")} % 20 as fate
+  from conversations),
+damaged as (
+  select coalesce(cast(conv_id as varchar), '-') as key, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case fate when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from fated),
+placed as (
+  select *, row_number() over (partition by key order by turn nulls first, role, sha256(strlen(role) || ':' || role || text)) as pos
+  from damaged),
+seen as (
+  select *, left(role, 1) as initial, trim(text, {_BLANKS}) as bare, min(pos) over (partition by key, role, text) as first_pos,
+    lag(left(role, 1)) over (partition by key order by pos) as earlier
+  from placed),
+marked as (
+  select *, case when bare = '' then 'blank' when first_pos < pos then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as name,
+    case name when 'blank' then 2 when 'duplicate' then 2 when 'truncated' then 1 else 0 end as fault
+  from seen),
+sums as (
+  select key, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where name = 'blank') as blank,
+    count(*) filter (where name = 'duplicate') as duplicate, count(*) filter (where name = 'truncated') as truncated,
+    count(*) filter (where pos > 1 and earlier || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from marked group by key),
+-- The least weight from the start to each state: nothing yet, after s, after u, after a.
+steps as (
+  select key, n, 0 as i, '000000' as k0, cast(null as varchar) as k1, cast(null as varchar) as k2, cast(null as varchar) as k3 from sums
+  union all
+  select key, n, i + 1, {_deleted('k0')}, least({', '.join([_deleted('k1'), *_kept('s', 'k0')])}),
+    least({', '.join([_deleted('k2'), *_kept('u', 'k0', 'k1', 'k3')])}), least({', '.join([_deleted('k3'), *_kept('a', 'k2')])})
+  from ({_inserted(_inserted("select steps.*, initial, fault from steps join marked on steps.key = marked.key and pos = i + 1"))})),
+solved as (
+  select key, least(k0, k3) as weight from ({_inserted(_inserted("select * from steps where i = n"))})),
+answers as (select key, cast(left(weight, 6) as bigint) as cost, weight[7:] as audit from solved),
+letters as (
+  select key, length(replace(audit, 'D', '')) % 2 as odd, unnest(string_split(audit, '')) as letter, generate_subscripts(string_split(audit, ''), 1) as place
+  from answers where audit <> ''),
+counted as (
+  select *, count(*) filter (where letter <> 'I') over w as pos, count(*) filter (where letter <> 'D') over w - 1 as turns_before
+  from letters window w as (partition by key order by place)),
+repaired as (
+  select c.key, string_agg(case letter when 'K' then role when 'I' then next || ':' else next end
+    || case letter when 'I' then '' else ':' || text end, chr(10) order by place) as lines
+  from (select *, case when turns_before > 0 and (turns_before - odd) % 2 = 1 then 'assistant' else 'user' end as next from counted where letter <> 'D') c
+  left join placed on letter <> 'I' and placed.key = c.key and placed.pos = c.pos group by c.key)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(lines, '')) as repaired_sha256
+from (select distinct conv_id, coalesce(cast(conv_id as varchar), '-') as key from conversations) every
+left join sums on sums.key = every.key left join answers on answers.key = every.key left join repaired on repaired.key = every.key
+"""
+
+ORACLES = {"op2_mixing": MIXING_SQL, "op3_line_dedup": LINES_SQL,
+           "op12_conversation_repair": CONVERSATION_SQL, "op13_merkle": MERKLE_SQL}
