@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, conversation_repair, html_text, line_dedup, merkle, mixing, quality, secret_scan, simhash, substrings, token_files, winnow
+from corpusloom.llm import (
+    bpe, classifier, conversation_repair, html_text, line_dedup, merkle, mixing, quality, secret_scan, simhash, substrings,
+    token_files, winnow)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -62,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(_table(spark, sf_dir))
 
 
+def op11_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
 
@@ -73,7 +79,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_winnowing, op5_quality_rules, op6_bpe,
-                            op7_token_files, op8_substring_dedup, op9_html_text, op10_secret_scan, op12_conversation_repair, op13_merkle)}
+                            op7_token_files, op8_substring_dedup, op9_html_text, op10_secret_scan,
+                            op11_classifier, op12_conversation_repair, op13_merkle)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
