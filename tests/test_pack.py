@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,48 @@ def test_parts_equal_the_sequential_rule(many_chunks, seed):
     assert len(got) == len(want)
 
 
+def applied(function, fill, budget):
+    total, fits, ends, opened = function
+    at = pack._first_start(fits, fill, budget)
+    return (int(ends[at]), int(opened[at])) if at < len(fits) else (fill + total, 0)
+
+
+def test_functions_compose_in_any_tree():
+    rng = random.Random(5)
+    for _ in range(300):
+        budget = rng.choice([3, 20, 100, 5000])
+        chunks = [np.array([rng.choice([1, 2, rng.randint(1, budget + 5)]) for _ in range(rng.randint(1, 9))]) for _ in range(rng.randint(1, 9))]
+        nodes = [pack._steps(c, budget) for c in chunks]
+        while len(nodes) > 1:
+            at = rng.randrange(len(nodes) - 1)
+            nodes[at:at + 2] = [pack._then(*nodes[at:at + 2], budget)]
+        tokens = [int(t) for c in chunks for t in c]
+        for fill in {-1, 0, 1, budget - 1, budget, budget + 7, rng.randint(0, budget)}:
+            parts = greedy(tokens, budget, None if fill < 0 else fill)
+            last = [t for t, p in zip(tokens, parts) if p == parts[-1]]
+            first = 0 if fill < 0 else 1
+            end = sum(last) + (fill if parts[-1] == first else 0)
+            assert applied(nodes[0], fill, budget) == (end, parts[-1] - first)
+        # Steps are bounded by the budget, whatever the number of chunks.
+        assert len(nodes[0][1]) <= budget + 1
+
+
+def test_very_many_chunks_in_one_project(spark):
+    rng = random.Random(6)
+    budget, n = 40, 100_000
+    tokens = [rng.randint(1, 30) for _ in range(n)]
+    table = pd.DataFrame({"project": "p", "idx": np.arange(n, dtype=np.int32)})
+    table["total"] = tokens
+    steps = {t: pack._steps(np.array([t]), budget) for t in set(tokens)}
+    for name, at in (("fits", 1), ("fill", 2), ("opened", 3)):
+        table[name] = [steps[t][at].tolist() for t in tokens]
+    nodes = spark.createDataFrame(table, f"project string, idx int, {pack._TYPES}").repartition(8)
+    start = spark.createDataFrame([("p", -1, 0)], "project string, fill_in long, part_in long")
+    got = {r.idx: r for r in pack.chain(nodes, start, budget, n).collect()}
+    parts = greedy(tokens, budget)
+    assert len(got) == n and [got[i + 1].part_in for i in range(n - 1)] == parts[:-1]
+
+
 def test_part_properties(many_chunks):
     rng = random.Random(9)
     rows = [("p", f"f{i:04d}", rng.randint(1, 130)) for i in range(900)]
