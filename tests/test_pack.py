@@ -80,7 +80,7 @@ def test_functions_compose_in_any_tree():
 
 def test_very_many_chunks_in_one_project(spark):
     rng = random.Random(6)
-    budget, n = 40, 100_000
+    budget, n = 40, 20_000
     tokens = [rng.randint(1, 30) for _ in range(n)]
     table = pd.DataFrame({"project": "p", "idx": np.arange(n, dtype=np.int32)})
     table["total"] = tokens
