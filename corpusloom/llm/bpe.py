@@ -105,7 +105,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """The documents with all their columns and ids array<int>, n_tokens, ids_sha256 (of the decimal ids
     joined by blanks) and decoded_sha256 (of the bytes that the ids decode to).
 
-    A null or empty text has no ids. Columns that have these names already are replaced. Row by row, without a shuffle.
+    A null or empty text has no ids; bytes that are not UTF-8 are replaced. Columns that have these names already are replaced. Row by row, without a shuffle.
     """
     added = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c.lower() not in added]
@@ -120,7 +120,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, n, ids_sha, text_sha = [], [], [], []
             for text in batch.column(octet).to_pylist():
-                got = bpe.encode(text.decode())
+                got = bpe.encode(text.decode(errors="replace"))
                 ids.append(np.array(got, np.int32))
                 n.append(len(got))
                 ids_sha.append(hashlib.sha256(" ".join(map(decimal.__getitem__, got)).encode()).hexdigest())

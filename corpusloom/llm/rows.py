@@ -48,6 +48,14 @@ def octets(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
+def texts(column: pa.Array) -> pa.StringArray:
+    """Bytes as text; what is not UTF-8 is replaced."""
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if t is None else t.decode(errors="replace") for t in column.to_pylist()], pa.string())
+
+
 def present(value: Column) -> Column:
     """A value as text that is never null; text sorts as before, null first."""
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))

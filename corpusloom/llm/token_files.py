@@ -14,30 +14,32 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.rows import map_slices, octets
+from corpusloom.llm.rows import map_slices, octets, texts
 from corpusloom.staging import shared_dir, stage
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-# Bytes of text in a file and in a slice that is encoded at once; a longer text comes alone.
+# Bytes of text in a file.
 FILE_BYTES = 32 << 20
-SLICE_BYTES = 24 << 20
-ROW_GROUP = 32 << 20
+ROW_GROUP = 16 << 20
 PAGE = 128 << 10
-# Words that the tokenizer gets in one text.
-_TOGETHER = 20_000
+# Words that the tokenizer gets in one text, and that a task remembers before it starts anew.
+_TOGETHER = 5000
+MOST_WORDS = 1 << 18
 # A border between a non-blank and a blank is one for the tokenizer whatever lies around it. Texts with
 # white space before a blank are encoded whole.
-_BLANKS = r"[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_BLANK_BEFORE_BLANK = _BLANKS + " "
+_BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+                 (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_BLANKS = "".join(chr(c) for a, b in _BLANK_RANGES for c in range(a, b + 1))
+_BLANK_BEFORE_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _BLANKS) + "] "
 
 
 class Encoder:
-    """The tokenizers library, asked once for every different word of a slice, since texts repeat most of theirs.
+    """The tokenizers library, asked once for every different word that the table holds, since texts repeat most of theirs.
 
-    Texts are cut before their blanks. The different words go to the tokenizer as one text, whose ids
-    are cut at the words' ends by the byte lengths of the tokens, and are then laid out in the
-    order of the texts.
+    Texts are cut before their blanks. Words that are new go to the tokenizer as one text, whose ids are cut
+    at the words' ends by the byte lengths of the tokens. The table lives as long as its task and starts
+    anew beyond MOST_WORDS, so small slices of texts cost no more than large ones.
     """
 
     def __init__(self, name: str):
@@ -47,62 +49,91 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character of the byte alphabet for each byte
+        self._clear()
+
+    def _clear(self) -> None:
+        # Entry k is ids[ends[k]:ends[k + 1]]; entry 0 is empty. Words with a blank before them, and first words without.
+        self.later: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.entries = 1
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _words(self, words: pa.StringArray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of the words with a blank before each, and the number of ids of each word."""
-        listed = words.to_pylist()
-        sizes = pc.binary_length(words).to_numpy() + 1
-        parts, counts = [], np.zeros(len(listed), np.int64)
-        for i in range(0, len(listed), _TOGETHER):
-            ids = self._plain(" " + " ".join(listed[i:i + _TOGETHER]))
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[i:i + _TOGETHER])) + 1
-            counts[i:i + _TOGETHER] = np.diff(ends, prepend=0)
-            parts.append(ids)
-        return parts, counts
-
-    def encode(self, texts: pa.StringArray) -> pa.ListArray:
-        """The ids of every text, as a list array of 32-bit integers."""
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """The number of the first of new entries."""
+        used, first = int(self.ends[self.entries]), self.entries
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(counts) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used:used + len(ids)] = ids
+        self.ends[first + 1:first + 1 + len(counts)] = used + np.cumsum(counts)
+        self.entries += len(counts)
+        return first
+
+    def _one(self, text: str) -> int:
+        ids = self._plain(text)
+        return self._add(ids, np.array([len(ids)]))
+
+    def _learn(self, words: list[str]) -> None:
+        """Entries for words that stand after a blank."""
+        together = []
+        for word in words:
+            # A word at the end of a text may be empty or end in white space: it must not meet a next one.
+            if not word or word[-1] in _BLANKS:
+                self.later[word] = self._one(" " + word)
+            else:
+                together.append(word)
+        for i in range(0, len(together), _TOGETHER):
+            some = together[i:i + _TOGETHER]
+            ids = self._plain(" " + " ".join(some))
+            sizes = np.array([len(w.encode()) + 1 for w in some])
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+            at = self._add(ids, np.diff(ends, prepend=0))
+            self.later.update(zip(some, range(at, at + len(some))))
+
+    def encode(self, texts: pa.StringArray, end: int | None = None) -> pa.ListArray:
+        """The ids of every text, as a list array of 32-bit integers, each with the id `end` behind it if given."""
+        if len(self.later) + len(self.first) > MOST_WORDS:
+            self._clear()
         cut = pc.split_pattern(texts, " ")
         flat = cut.flatten()
         coded = flat.dictionary_encode()
-        words, index = coded.dictionary, coded.indices.to_numpy().copy()
+        words = coded.dictionary.to_pylist()
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)
-        # A word at the end of a text may be empty or end in white space: it must not meet a next one.
-        alone = pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring_regex(words, _BLANKS + "$")).to_numpy(zero_copy_only=False)
         whole = pc.match_substring_regex(texts, _BLANK_BEFORE_BLANK).to_numpy(zero_copy_only=False)
-        place = np.cumsum(~alone) - 1
-        parts, counts = self._words(words.filter(pa.array(~alone)))
-        n = len(counts)
-        extra, extra_counts = [], []
-
-        def add(ids: np.ndarray) -> int:
-            extra.append(ids)
-            extra_counts.append(len(ids))
-            return n + len(extra) - 1
-
-        known = np.where(alone, -1, place)
-        for w in np.flatnonzero(alone):
-            known[w] = add(self._plain(" " + words[int(w)].as_py()))
-        entry = known[index]
         # The first word has no blank before it; a text encoded whole is one entry and then nothing.
-        nothing = add(np.zeros(0, np.int32))
-        memory: dict[str, int] = {}
+        inner = np.ones(len(flat), bool)
+        inner[starts[:-1]] = False
+        for t in np.flatnonzero(whole):
+            inner[starts[t]:starts[t + 1]] = False
+        index = coded.indices.to_numpy()
+        used = np.zeros(len(words), bool)
+        used[index[inner]] = True
+        self._learn([w for w, u in zip(words, used) if u and w not in self.later])
+        known = np.fromiter((self.later.get(w, 0) for w in words), np.int64, len(words))
+        entry = np.where(inner, known[index], 0)
         for t in range(len(texts)):
-            a, b = starts[t], starts[t + 1]
-            first = texts[t].as_py() if whole[t] else flat[int(a)].as_py()
-            if first not in memory:
-                memory[first] = add(self._plain(first))
-            entry[a] = memory[first]
-            if whole[t]:
-                entry[a + 1:b] = nothing
-        all_counts = np.concatenate([counts, np.array(extra_counts, np.int64)])
-        offsets = np.concatenate([[0], np.cumsum(all_counts)])
-        table = pa.LargeListArray.from_arrays(pa.array(offsets), np.concatenate([*parts, *extra]) if parts or extra else np.zeros(0, np.int32))
+            if not whole[t]:
+                word = words[index[starts[t]]]
+                if word not in self.first:
+                    self.first[word] = self._one(word)
+                entry[starts[t]] = self.first[word]
+        kept = self.entries
+        for t in np.flatnonzero(whole):
+            entry[starts[t]] = self._one(texts[int(t)].as_py())
+        bounds = starts
+        if end is not None:
+            entry = np.insert(entry, starts[1:], self._add(np.array([end], np.int32), np.array([1])))
+            bounds = starts + np.arange(len(starts))
+        counts = np.diff(self.ends[:self.entries + 1])
+        table = pa.LargeListArray.from_arrays(pa.array(self.ends[:self.entries + 1]), pa.array(self.ids[:self.ends[self.entries]]))
         ids = table.take(pa.array(entry)).flatten()
-        ends = np.concatenate([[0], np.cumsum(all_counts[entry])])[starts]
+        # What only this slice has is forgotten.
+        self.entries = kept
+        ends = np.concatenate([[0], np.cumsum(counts[entry])])[bounds]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)
 
 
@@ -118,21 +149,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
     it. Ids are dictionary-encoded, so they take as many bits as the ids of a row group need; row
     groups and pages are small enough to read single documents by the page index of doc_id. The
     texts, which are smaller than ids, are what is shuffled. Rows of one doc_id are ordered by text.
-    A null or empty text has the end id alone; an empty table writes no rows.
+    A null or empty text has the end id alone, bytes that are not UTF-8 are replaced; an empty table writes no rows.
     """
 
     def make():
         encoder = load(vocabulary)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = encoder.encode(batch.column("text").cast(pa.string()))
-            n, lengths = len(got), pc.list_value_length(got).to_numpy().astype(np.int64)
-            # The end id goes behind the ids of each document.
-            ids = np.insert(got.flatten().to_numpy(), np.cumsum(lengths), end).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths + 1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
-                ["doc_id", "n_tokens", "ids"]).slice(0, n)
+            got = encoder.encode(texts(batch.column("text")), end)
+            lengths = pc.list_value_length(got).cast(pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), lengths, got], ["doc_id", "n_tokens", "ids"])
         return each
 
     spark = docs.sparkSession
@@ -141,7 +167,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
         partitions = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     ordered = (docs.select("doc_id", octets().alias("text")).repartitionByRange(partitions, "doc_id")
                .sortWithinPartitions("doc_id", "text"))
-    encoded = map_slices(ordered, "text", "doc_id long, n_tokens long, ids array<int>", make, SLICE_BYTES)
+    encoded = map_slices(ordered, "text", "doc_id long, n_tokens long, ids array<int>", make)
     (encoded.withColumn("file_no", F.spark_partition_id())
      .withColumn("row_no", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
      .write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
@@ -171,7 +197,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read back from token files of the documents."""
+    """(doc_id, start, n_tokens, ids_crc32) read back from token files of the documents.
+
+    Null and empty texts have the end id alone; rows without a doc_id come first, rows of one doc_id by their text; other
+    columns are not looked at; no documents give no rows.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, vocabulary, end)

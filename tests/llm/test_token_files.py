@@ -37,6 +37,28 @@ def test_slices_equal_the_library():
         assert token_files.load(token_files.VOCABULARY).encode(pa.array(texts, pa.string())).to_pylist() == [ids_of(t) for t in texts]
 
 
+def test_the_table_of_words_may_start_anew_at_any_slice(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 20)
+    encoder, rng = token_files.Encoder(token_files.VOCABULARY), random.Random(4)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["stone", "über", "a\n", "日本", "", "x\xa0", "tree" + str(rng.randrange(30))]) for _ in range(rng.randrange(12))) for _ in range(5)]
+        assert encoder.encode(pa.array(texts, pa.string()), 0).to_pylist() == [ids_of(t) + [0] for t in texts]
+    assert encoder.entries < 200
+
+
+def test_bytes_that_are_not_utf8_are_replaced(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('61FF62') as string) as text")
+    (row,) = token_files.token_digests(docs).collect()
+    ids = ids_of("a\ufffdb") + [0]
+    assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"text {i}", 1, 2, "x") for i in range(5)]
+    docs = frame(spark, rows, "doc_id long, text string, file_no int, n_tokens int, ids string")
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in token_files.token_digests(docs).collect()) == [x[:3] for x in brute([r[:2] for r in rows])]
+
+
 def test_files_read_back(spark, tmp_path):
     rows = corpus(31) + corpus(31)[:6] + [(None, "no id", None, None, 1), (None, None, None, None, 1)]
     path = str(tmp_path / "tokens")
