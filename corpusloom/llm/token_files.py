@@ -19,13 +19,14 @@ from corpusloom.staging import shared_dir, stage
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-# Bytes of text in a file.
+# Bytes of text in a file, and in a slice that is encoded at once; a longer text comes alone.
 FILE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 ROW_GROUP = 16 << 20
 PAGE = 128 << 10
-# Words that the tokenizer gets in one text, and that a task remembers before it starts anew.
+# Words that the tokenizer gets in one text, and that a worker remembers (about 200 MB) before it starts anew.
 _TOGETHER = 5000
-MOST_WORDS = 1 << 18
+MOST_WORDS = 1 << 20
 # A border between a non-blank and a blank is one for the tokenizer whatever lies around it. Texts with
 # white space before a blank are encoded whole.
 _BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
@@ -38,7 +39,7 @@ class Encoder:
     """The tokenizers library, asked once for every different word that the table holds, since texts repeat most of theirs.
 
     Texts are cut before their blanks. Words that are new go to the tokenizer as one text, whose ids are cut
-    at the words' ends by the byte lengths of the tokens. The table lives as long as its task and starts
+    at the words' ends by the byte lengths of the tokens. The table lives as long as its worker and starts
     anew beyond MOST_WORDS, so small slices of texts cost no more than large ones.
     """
 
@@ -105,22 +106,23 @@ class Encoder:
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)
         whole = pc.match_substring_regex(texts, _BLANK_BEFORE_BLANK).to_numpy(zero_copy_only=False)
         # The first word has no blank before it; a text encoded whole is one entry and then nothing.
-        inner = np.ones(len(flat), bool)
-        inner[starts[:-1]] = False
-        for t in np.flatnonzero(whole):
-            inner[starts[t]:starts[t + 1]] = False
         index = coded.indices.to_numpy()
-        used = np.zeros(len(words), bool)
-        used[index[inner]] = True
-        self._learn([w for w, u in zip(words, used) if u and w not in self.later])
-        known = np.fromiter((self.later.get(w, 0) for w in words), np.int64, len(words))
-        entry = np.where(inner, known[index], 0)
-        for t in range(len(texts)):
-            if not whole[t]:
-                word = words[index[starts[t]]]
-                if word not in self.first:
-                    self.first[word] = self._one(word)
-                entry[starts[t]] = self.first[word]
+        outer = [starts[:-1], *(np.arange(starts[t], starts[t + 1]) for t in np.flatnonzero(whole))]
+        used = np.bincount(index, minlength=len(words))
+        np.subtract.at(used, index[np.unique(np.concatenate(outer))], 1)
+        found = list(map(self.later.get, words))
+        new = [i for i, n in enumerate(found) if n is None and used[i]]
+        self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = self.later[words[i]]
+        entry = np.array([n or 0 for n in found], np.int32)[index]
+        for at in outer:
+            entry[at] = 0
+        for t in np.flatnonzero(~whole):
+            word = words[index[starts[t]]]
+            if word not in self.first:
+                self.first[word] = self._one(word)
+            entry[starts[t]] = self.first[word]
         kept = self.entries
         for t in np.flatnonzero(whole):
             entry[starts[t]] = self._one(texts[int(t)].as_py())
@@ -128,12 +130,11 @@ class Encoder:
         if end is not None:
             entry = np.insert(entry, starts[1:], self._add(np.array([end], np.int32), np.array([1])))
             bounds = starts + np.arange(len(starts))
-        counts = np.diff(self.ends[:self.entries + 1])
+        ends = np.concatenate([[0], np.cumsum(np.diff(self.ends[:self.entries + 1])[entry])])[bounds]
         table = pa.LargeListArray.from_arrays(pa.array(self.ends[:self.entries + 1]), pa.array(self.ids[:self.ends[self.entries]]))
         ids = table.take(pa.array(entry)).flatten()
         # What only this slice has is forgotten.
         self.entries = kept
-        ends = np.concatenate([[0], np.cumsum(counts[entry])])[bounds]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)
 
 
@@ -167,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
         partitions = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     ordered = (docs.select("doc_id", octets().alias("text")).repartitionByRange(partitions, "doc_id")
                .sortWithinPartitions("doc_id", "text"))
-    encoded = map_slices(ordered, "text", "doc_id long, n_tokens long, ids array<int>", make)
+    encoded = map_slices(ordered, "text", "doc_id long, n_tokens long, ids array<int>", make, SLICE_BYTES)
     (encoded.withColumn("file_no", F.spark_partition_id())
      .withColumn("row_no", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
      .write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
