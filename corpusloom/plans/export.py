@@ -32,7 +32,7 @@ def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
     dependent = [(i, s) for i, s in scans if isinstance(s, DependencyScan)]
     closures = {}
     if dependent:
-        found = stage(closure.dependency_scans(files, dependent, stage(edges.all_edges(files))))
+        found = stage(closure.dependency_scans(files, dependent, closure.stage_edges(edges.all_edges(files))))
         closures = {i: found.where(F.col("strategy") == str(i)) for i, _ in dependent}
     chosen = collect_files(files, scans, spec.filters, closures)
     for i, scan in dependent:

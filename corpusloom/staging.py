@@ -40,6 +40,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def stage_clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Like stage(), with the rows of equal keys in one bucket of a bucketed table, so that joins and aggregates by these
+    keys do not move them. The entry in the catalog is only needed to write and open the table and is dropped at once."""
+    spark = df.sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    target = f"{shared_dir(spark).rstrip('/')}/{name.replace('_', '-')}"
+    for scope in _open_scopes.get():
+        scope.append(target)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", target).option("compression", "zstd").format("parquet").saveAsTable(name))
+    table = spark.table(name)
+    # A table with a path of its own leaves its files where they are.
+    spark.sql(f"drop table {name}")
+    return table
+
+
 @contextmanager
 def staged_tables(spark: SparkSession):
     """Remove the tables staged inside the block when it ends; yields stage() for those to keep."""

@@ -88,7 +88,7 @@ def scan_pattern(spark, sf_dir):
 
 def _graph(spark, sf_dir, **options) -> tuple[DataFrame, DataFrame]:
     files = adapters.graph(spark, sf_dir)
-    return files, stage(edges.keep_edges(edges.all_edges(files), **options))
+    return files, closure.stage_edges(edges.keep_edges(edges.all_edges(files), **options))
 
 
 @query
@@ -108,7 +108,7 @@ MANY = (("all", DependencyScan("all", "./" + adapters.ENTRY, depth=DEPTH)),
 def scan_dependency_many(spark, sf_dir):
     """Three entries with their own depths and kinds of edges in one chain of joins."""
     files = adapters.graph(spark, sf_dir)
-    return closure.dependency_scans(files, MANY, stage(edges.all_edges(files))).select(
+    return closure.dependency_scans(files, MANY, closure.stage_edges(edges.all_edges(files))).select(
         "project", "strategy", "path", "depth", "reason")
 
 
@@ -469,7 +469,7 @@ def topo_order_joins(spark, sf_dir):
     entries = stage(files.where(F.col("path") == adapters.ENTRY).select(
         "project", F.lit("feature").alias("strategy"), F.col("path").alias("entry")))
     reached = stage(closure.bounded_closure(entries, graph, DEPTH))
-    return closure.topo_order_by_joins(entries, stage(closure.closure_edges(reached, graph)))
+    return closure.topo_order_by_joins(entries, stage(closure.closure_edges(reached, graph)), reached)
 
 
 @query
