@@ -24,7 +24,7 @@ FILE_BYTES = 32 << 20
 SLICE_BYTES = 4 << 20
 ROW_GROUP = 16 << 20
 PAGE = 128 << 10
-# Words that the tokenizer gets in one text, and that a worker remembers (about 200 MB) before it starts anew.
+# Words that the tokenizer gets in one text, and that a worker remembers (about 50 MB) before it starts anew.
 _TOGETHER = 5000
 MOST_WORDS = 1 << 20
 # A border between a non-blank and a blank is one for the tokenizer whatever lies around it. Texts with
@@ -32,6 +32,8 @@ MOST_WORDS = 1 << 20
 _BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
                  (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 _BLANKS = "".join(chr(c) for a, b in _BLANK_RANGES for c in range(a, b + 1))
+# Marks that are a piece of their own between a letter and a blank.
+_MARKS = ".,;:!?"
 _BLANK_BEFORE_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _BLANKS) + "] "
 
 
@@ -39,8 +41,9 @@ class Encoder:
     """The tokenizers library, asked once for every different word that the table holds, since texts repeat most of theirs.
 
     Texts are cut before their blanks. Words that are new go to the tokenizer as one text, whose ids are cut
-    at the words' ends by the byte lengths of the tokens. The table lives as long as its worker and starts
-    anew beyond MOST_WORDS, so small slices of texts cost no more than large ones.
+    at the words' ends by the byte lengths of the tokens; one that ends in a letter and a mark is made of the word
+    before the mark and the mark. The table lives as long as its worker and starts anew beyond MOST_WORDS, so small
+    slices of texts cost no more than large ones.
     """
 
     def __init__(self, name: str):
@@ -50,11 +53,13 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character of the byte alphabet for each byte
+        self.marks = {m: self._plain(m) for m in _MARKS}
         self._clear()
 
     def _clear(self) -> None:
-        # Entry k is ids[ends[k]:ends[k + 1]]; entry 0 is empty. Words with a blank before them, and first words without.
-        self.later: dict[str, int] = {}
+        # Entry k is ids[ends[k]:ends[k + 1]]; entry 0 is empty. Words with a blank before them are a plain array, which takes
+        # a tenth of the memory of a dictionary; first words, without a blank, are few.
+        self.known, self.numbers = pa.array([], pa.string()), np.zeros(0, np.int32)
         self.first: dict[str, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
         self.entries = 1
@@ -78,13 +83,28 @@ class Encoder:
         ids = self._plain(text)
         return self._add(ids, np.array([len(ids)]))
 
-    def _learn(self, words: list[str]) -> None:
-        """Entries for words that stand after a blank."""
+    def _entries(self, words: pa.StringArray) -> np.ndarray:
+        """The entries of words that stand after a blank, -1 for those that are not known."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
+        return np.append(self.numbers, -1)[at]
+
+    def _remember(self, words: list[str], numbers: list[int]) -> None:
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
+        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int32)])
+
+    def _learn(self, words: list[str]) -> list[int]:
+        """New entries for new words that stand after a blank."""
+        marked = [w for w in words if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha()]
+        plain = set(words).difference(marked)
+        bases = pa.array([w[:-1] for w in marked], pa.string())
+        at = self._entries(bases)
+        plain.update(b for b, n in zip(bases.to_pylist(), at) if n < 0)
+        found: dict[str, int] = {}
         together = []
-        for word in words:
+        for word in sorted(plain):
             # A word at the end of a text may be empty or end in white space: it must not meet a next one.
             if not word or word[-1] in _BLANKS:
-                self.later[word] = self._one(" " + word)
+                found[word] = self._one(" " + word)
             else:
                 together.append(word)
         for i in range(0, len(together), _TOGETHER):
@@ -92,34 +112,43 @@ class Encoder:
             ids = self._plain(" " + " ".join(some))
             sizes = np.array([len(w.encode()) + 1 for w in some])
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
-            at = self._add(ids, np.diff(ends, prepend=0))
-            self.later.update(zip(some, range(at, at + len(some))))
+            first = self._add(ids, np.diff(ends, prepend=0))
+            found.update(zip(some, range(first, first + len(some))))
+        self._remember(list(found), list(found.values()))
+        parts, counts = [], []
+        for word, n in zip(marked, at.tolist()):
+            n = found[word[:-1]] if n < 0 else n
+            parts += (self.ids[self.ends[n]:self.ends[n + 1]], self.marks[word[-1]])
+            counts.append(len(parts[-2]) + len(parts[-1]))
+        if marked:
+            first = self._add(np.concatenate(parts), np.array(counts))
+            self._remember(marked, range(first, first + len(marked)))
+            found.update(zip(marked, range(first, first + len(marked))))
+        return [found[w] for w in words]
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> pa.ListArray:
         """The ids of every text, as a list array of 32-bit integers, each with the id `end` behind it if given."""
-        if len(self.later) + len(self.first) > MOST_WORDS:
+        if len(self.known) + len(self.first) > MOST_WORDS:
             self._clear()
         cut = pc.split_pattern(texts, " ")
         flat = cut.flatten()
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words, index = coded.dictionary, coded.indices.to_numpy()
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)
         whole = pc.match_substring_regex(texts, _BLANK_BEFORE_BLANK).to_numpy(zero_copy_only=False)
         # The first word has no blank before it; a text encoded whole is one entry and then nothing.
-        index = coded.indices.to_numpy()
         outer = [starts[:-1], *(np.arange(starts[t], starts[t + 1]) for t in np.flatnonzero(whole))]
         used = np.bincount(index, minlength=len(words))
         np.subtract.at(used, index[np.unique(np.concatenate(outer))], 1)
-        found = list(map(self.later.get, words))
-        new = [i for i, n in enumerate(found) if n is None and used[i]]
-        self._learn([words[i] for i in new])
-        for i in new:
-            found[i] = self.later[words[i]]
-        entry = np.array([n or 0 for n in found], np.int32)[index]
+        found = self._entries(words)
+        new = (found < 0) & (used > 0)
+        if new.any():
+            found[new] = self._learn(words.filter(pa.array(new)).to_pylist())
+        entry = found[index]
         for at in outer:
             entry[at] = 0
-        for t in np.flatnonzero(~whole):
-            word = words[index[starts[t]]]
+        plain = np.flatnonzero(~whole)
+        for t, word in zip(plain, flat.take(pa.array(starts[plain])).to_pylist()):
             if word not in self.first:
                 self.first[word] = self._one(word)
             entry[starts[t]] = self.first[word]
