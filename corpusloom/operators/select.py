@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import globs, paths
 from corpusloom.functions.ignore import ignored, parse_rules
 from corpusloom.functions.text import read_text
+from corpusloom.operators.member import with_member
 from corpusloom.operators.ordering import spread_join
 from corpusloom.staging import stage
 from corpusloom.spec import KINDS, DependencyScan, Filters, FolderScan, FullScan, PatternScan
@@ -45,15 +46,12 @@ def with_ignored(files: DataFrame) -> DataFrame:
     """files plus _ignored.
 
     The rules of a project are tested on its paths alone, spread over salts, since one project
-    may own most of them. What comes back to the files is the paths that are hidden, as a rule the
-    lesser part; contents are not sent to one place by project.
+    may own most of them. What comes back to the files is whether a path is hidden, without moving their contents.
     """
     rules = stage(ignore_rules(files))
     hidden = stage(spread_join(files.select("project", "path"), rules, ["project"])
-                   .where(ignored(F.col("path"), F.col("_runs"))).select("project", "path").distinct()
-                   .withColumn("_hidden", F.lit(True)))
-    return files.join(hidden, ["project", "path"], "left").withColumn(
-        "_ignored", F.coalesce("_hidden", F.lit(False))).drop("_hidden")
+                   .where(ignored(F.col("path"), F.col("_runs"))).select("project", "path").distinct())
+    return with_member(files, hidden, ["project", "path"], "_ignored")
 
 
 def full_matches(scan: FullScan, filters: Filters, columns) -> Column:

@@ -14,7 +14,7 @@ from corpusloom.operators.ordering import in_chunks, path_order, positions, spre
 from corpusloom.operators.process import process
 from corpusloom.operators.select import collect_files, size_within
 from corpusloom.operators.slices import slice_symbols
-from corpusloom.plans.sinks import write_rows
+from corpusloom.plans.sinks import in_blocks, place, with_texts, write_placed, write_rows
 from corpusloom.spec import DependencyScan, ExportSpec
 from corpusloom.staging import stage, staged_tables
 
@@ -49,7 +49,7 @@ def collect(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
 
 @dataclass
 class Measured:
-    """Staged texts, and their narrow ordered rows (with _chunk and _seq) that all later steps work on."""
+    """Staged texts with their numbers _at, and their narrow ordered rows (with _chunk and _seq) that all later steps work on."""
 
     texts: DataFrame
     ordered: DataFrame
@@ -57,8 +57,8 @@ class Measured:
 
 
 def measure(files: DataFrame, spec: ExportSpec, names=None) -> Measured:
-    texts = stage(collect(files, spec, names))
-    narrow = texts.select("project", "path", "strategy", "strategy_idx", "topo_pos", "reason",
+    texts = in_blocks(collect(files, spec, names))
+    narrow = texts.select("_at", "project", "path", "strategy", "strategy_idx", "topo_pos", "reason",
                           "original_size", "processed_size", "tokens")
     chunks = in_chunks(narrow, ["project"], output_order())
     return Measured(texts, stage(positions(chunks, ["project"])), files.select("project").distinct())
@@ -109,12 +109,22 @@ def split_parts(m: Measured, spec: ExportSpec, preamble: DataFrame | None) -> Da
     return pack.pack_chunks(m.ordered, spec.budget.max_tokens or 100_000, start)
 
 
-def _file_rows(texts: DataFrame, placed: DataFrame) -> DataFrame:
-    # The one join that moves texts; placed carries only names and numbers.
-    return texts.select("project", "path", F.col("content").alias("text")).join(
-        placed.select("project", "path", "file_name", F.col("ord").alias("seq")), ["project", "path"]
-    ).select("project", "file_name", F.lit(FILE).alias("section"), "seq",
-             F.array().cast("array<string>").alias("step"), "text")
+def _file_places(placed: DataFrame) -> DataFrame:
+    return placed.select("project", "file_name", F.lit(FILE).alias("section"), F.col("ord").alias("seq"), F.array().cast("array<string>").alias("step"),
+                         "_at", F.col("processed_size").alias("bytes"), F.lit(None).cast("string").alias("text"))
+
+
+def _preamble_places(preamble: DataFrame) -> DataFrame:
+    return preamble.select("project", "file_name", "section", "seq", "step", F.lit(None).cast("long").alias("_at"),
+                           F.octet_length("text").cast("long").alias("bytes"), "text")
+
+
+def _with_texts(m: Measured, places: DataFrame) -> DataFrame:
+    """Rows at places (project, file_name, section, seq, step, _at, text, ...) with their texts: those of files are held by m."""
+    columns = [c for c in places.columns if c not in ("_at", "text")]
+    held = m.texts.select("_block", "_at", F.col("content").alias("text"))
+    found = with_texts(held, places.where("_at is not null").select(*columns, "_at"))
+    return found.unionByName(places.where("_at is null").select(*columns, "text"))
 
 
 def export_rows(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
@@ -127,8 +137,14 @@ def export_rows(files: DataFrame, spec: ExportSpec, names=None) -> DataFrame:
 
 
 def placed_rows(m: Measured, spec: ExportSpec) -> DataFrame:
+    return _with_texts(m, places(m, spec).drop("bytes"))
+
+
+def places(m: Measured, spec: ExportSpec) -> DataFrame:
+    """(project, file_name, section, seq, step, _at, bytes, text): every row of every output file, with the number of its text for
+    files and the text itself for lines of manifest and tree."""
     if spec.output.mode == "multi":
-        return _multi_rows(m, spec)
+        return _multi_places(m, spec)
     stamp, template = spec.iso_ts, spec.output.file_name
     heads = stage(_heads(m.ordered, ["project"], F.col("project"), m.projects))
     preamble = preamble_rows(m.ordered, ["project"], heads, spec)
@@ -136,26 +152,33 @@ def placed_rows(m: Measured, spec: ExportSpec) -> DataFrame:
         preamble = stage(preamble)
     first = pack.part_file_name(template, stamp, F.lit(1))
     if spec.budget.enabled and spec.budget.split:
-        placed = split_parts(m, spec, preamble).withColumn(
+        parts = split_parts(m, spec, preamble).select("project", "path", "part")
+        # Narrow rows on both sides.
+        placed = m.ordered.join(parts, ["project", "path"]).withColumn(
             "file_name", pack.part_file_name(template, stamp, F.col("part")))
     else:
         placed = m.ordered.withColumn("file_name", first)
-    rows = _file_rows(m.texts, placed)
-    if preamble is None:
-        return rows
-    return rows.unionByName(preamble.withColumn("file_name", first))
+    rows = _file_places(placed)
+    if preamble is not None:
+        return rows.unionByName(_preamble_places(preamble.withColumn("file_name", first)))
+    if not (spec.budget.enabled and spec.budget.split):
+        # An export that is not split has its one file even if that is empty.
+        bare = heads.where("total_files = 0").select("project", first.alias("file_name"), F.lit(FILE).alias("section"), F.lit(0).cast("long").alias("seq"),
+                                                     F.array().cast("array<string>").alias("step"), F.lit("").alias("text"))
+        rows = rows.unionByName(_preamble_places(bare))
+    return rows
 
 
-def _multi_rows(m: Measured, spec: ExportSpec) -> DataFrame:
+def _multi_places(m: Measured, spec: ExportSpec) -> DataFrame:
     keyed = m.ordered.withColumn("group_key", groups.group_key(spec.output.group_by))
     keyed = stage(spread_join(keyed, groups.group_files(keyed), ["project", "group_key"]))
     keys = ["project", "file_name"]
-    rows = _file_rows(m.texts, keyed)
+    rows = _file_places(keyed)
     names = keyed.groupBy(*keys).agg(F.first("group_key").alias("group_key"))
     heads = stage(_heads(keyed, keys, F.lit("")).join(names, keys).withColumn(
         "title", F.concat("project", F.lit("-"), "group_key")))
     preamble = preamble_rows(keyed, keys, heads, spec)
-    return rows if preamble is None else rows.unionByName(preamble)
+    return rows if preamble is None else rows.unionByName(_preamble_places(preamble))
 
 
 def summary(m: Measured) -> DataFrame:
@@ -180,14 +203,15 @@ def output_files(rows: DataFrame) -> DataFrame:
     return rows.groupBy("project", "file_name").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
-def export(spark: SparkSession, files: DataFrame, spec: ExportSpec, target: str, names=None) -> DataFrame:
+def export(spark: SparkSession, files: DataFrame, spec: ExportSpec, target: str, names=None, task_bytes: int | None = None) -> DataFrame:
     """Write every output file below target and return the summary per project, with the number of its files.
 
-    The intermediate tables are removed at the end; the summary is kept. output_files lists the files.
+    target may be on any file system that pyarrow opens. The intermediate tables are removed at the end; the summary is
+    kept. output_files lists the files. A task writes task_bytes of text, see sinks.place.
     """
     with staged_tables(spark) as keep:
         m = measure(files, spec, names)
-        rows = placed_rows(m, spec)
-        write_rows(rows, spec.format.separator, target)
-        count = rows.groupBy("project").agg(F.count_distinct("file_name").alias("output_files"))
+        placed = place(places(m, spec), task_bytes)
+        write_placed(placed, _with_texts(m, placed.rows), spec.format.separator, target)
+        count = placed.rows.groupBy("project").agg(F.count_distinct("file_name").alias("output_files"))
         return keep(summary(m).join(count, "project", "left").fillna(0))

@@ -156,8 +156,6 @@ def check(spec: ExportSpec) -> list[tuple[str, str]]:
     by = spec.output.group_by
     if not isinstance(by, Column) and by not in ("reason", "strategy", "folder", "custom"):
         found.append(("output.group_by", "takes reason, strategy, folder, custom or a Column"))
-    if not spec.format.separator.endswith("\n"):
-        found.append(("format.separator", "must end with a line feed, the row end of the text sink"))
     needs = {"pattern": ("patterns", "a list of globs"), "folder": ("paths", "a list of folders or files"),
              "dependency": ("entry", "the path of a file")}
     for i, scan in enumerate(spec.strategies):
