@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from functools import lru_cache
@@ -169,6 +170,8 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def load(name: str) -> Encoder:
+    # A task has one core.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(name)
 
 
@@ -239,7 +242,8 @@ def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END)
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column("ids")
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        crcs = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])]
+        flat = flat.astype("<u4", copy=False)
+        crcs = [zlib.crc32(flat[a:b]) for a, b in zip(offsets, offsets[1:])]
         return pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "file_no", "row_no", "n_tokens")), pa.array(crcs, pa.int64())],
             ["doc_id", "file_no", "row_no", "n_tokens", "ids_crc32"])
