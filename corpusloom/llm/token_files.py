@@ -22,11 +22,11 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 # Bytes of text in a file, and in a slice that is encoded at once; a longer text comes alone.
 FILE_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 ROW_GROUP = 16 << 20
 PAGE = 128 << 10
 # Words that the tokenizer gets in one text, and that a worker remembers (about 50 MB) before it starts anew.
-_TOGETHER = 5000
+_TOGETHER = 1000
 MOST_WORDS = 1 << 20
 # A border between a non-blank and a blank is one for the tokenizer whatever lies around it. Texts with
 # white space before a blank are encoded whole.
@@ -35,7 +35,8 @@ _BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680
 _BLANKS = "".join(chr(c) for a, b in _BLANK_RANGES for c in range(a, b + 1))
 # Marks that are a piece of their own between a letter and a blank.
 _MARKS = ".,;:!?"
-_BLANK_BEFORE_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _BLANKS) + "] "
+_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _BLANKS) + "]"
+_BLANK_BEFORE_BLANK = _BLANK + " "
 
 
 class Encoder:
@@ -84,48 +85,35 @@ class Encoder:
         ids = self._plain(text)
         return self._add(ids, np.array([len(ids)]))
 
-    def _entries(self, words: pa.StringArray) -> np.ndarray:
-        """The entries of words that stand after a blank, -1 for those that are not known."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
-        return np.append(self.numbers, -1)[at]
-
-    def _remember(self, words: list[str], numbers: list[int]) -> None:
-        self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int32)])
-
-    def _learn(self, words: list[str]) -> list[int]:
-        """New entries for new words that stand after a blank."""
-        marked = [w for w in words if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha()]
-        plain = set(words).difference(marked)
-        bases = pa.array([w[:-1] for w in marked], pa.string())
-        at = self._entries(bases)
-        plain.update(b for b, n in zip(bases.to_pylist(), at) if n < 0)
-        found: dict[str, int] = {}
-        together = []
-        for word in sorted(plain):
-            # A word at the end of a text may be empty or end in white space: it must not meet a next one.
-            if not word or word[-1] in _BLANKS:
-                found[word] = self._one(" " + word)
-            else:
-                together.append(word)
-        for i in range(0, len(together), _TOGETHER):
-            some = together[i:i + _TOGETHER]
-            ids = self._plain(" " + " ".join(some))
-            sizes = np.array([len(w.encode()) + 1 for w in some])
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
-            first = self._add(ids, np.diff(ends, prepend=0))
-            found.update(zip(some, range(first, first + len(some))))
-        self._remember(list(found), list(found.values()))
-        parts, counts = [], []
-        for word, n in zip(marked, at.tolist()):
-            n = found[word[:-1]] if n < 0 else n
-            parts += (self.ids[self.ends[n]:self.ends[n + 1]], self.marks[word[-1]])
-            counts.append(len(parts[-2]) + len(parts[-1]))
-        if marked:
-            first = self._add(np.concatenate(parts), np.array(counts))
-            self._remember(marked, range(first, first + len(marked)))
-            found.update(zip(marked, range(first, first + len(marked))))
-        return [found[w] for w in words]
+    def _learn(self, words: pa.StringArray, marked: np.ndarray, bases: pa.StringArray, base_entries: np.ndarray) -> np.ndarray:
+        """Entries for new words that stand after a blank; marked are those made of a base and a mark, with the bases' entries or -1."""
+        whole, missing = words.filter(pa.array(~marked)), bases.filter(pa.array(base_entries < 0))
+        plain = pc.unique(pa.concat_arrays([whole, missing]))
+        # A word at the end of a text may be empty or end in white space: it must not meet a next one.
+        lone = pc.or_(pc.equal(pc.binary_length(plain), 0), pc.match_substring_regex(plain, _BLANK + "$")).to_numpy(zero_copy_only=False)
+        together = plain.filter(pa.array(~lone))
+        sizes = pc.binary_length(together).to_numpy().astype(np.int64) + 1
+        listed, first = together.to_pylist(), self.entries
+        for i in range(0, len(listed), _TOGETHER):
+            ids = self._plain(" " + " ".join(listed[i:i + _TOGETHER]))
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[i:i + _TOGETHER])) + 1
+            self._add(ids, np.diff(ends, prepend=0))
+        numbers = np.zeros(len(plain), np.int32)
+        numbers[~lone] = np.arange(first, first + len(listed))
+        numbers[lone] = [self._one(" " + word) for word in plain.filter(pa.array(lone)).to_pylist()]
+        found = np.zeros(len(words), np.int32)
+        found[~marked] = numbers[pc.index_in(whole, value_set=plain).to_numpy()]
+        if marked.any():
+            at = base_entries.copy()
+            at[at < 0] = numbers[pc.index_in(missing, value_set=plain).to_numpy()]
+            marks = pc.utf8_slice_codeunits(words.filter(pa.array(marked)), -1).to_pylist()
+            parts = [x for n, m in zip(at.tolist(), marks) for x in (self.ids[self.ends[n]:self.ends[n + 1]], self.marks[m])]
+            counts = np.diff(self.ends)[at] + np.array([len(self.marks[m]) for m in marks])
+            first = self._add(np.concatenate(parts), counts)
+            found[marked] = np.arange(first, first + len(at))
+        self.known = pa.concat_arrays([self.known, plain, words.filter(pa.array(marked))])
+        self.numbers = np.concatenate([self.numbers, numbers, found[marked]])
+        return found
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> pa.ListArray:
         """The ids of every text, as a list array of 32-bit integers, each with the id `end` behind it if given."""
@@ -141,10 +129,16 @@ class Encoder:
         outer = [starts[:-1], *(np.arange(starts[t], starts[t + 1]) for t in np.flatnonzero(whole))]
         used = np.bincount(index, minlength=len(words))
         np.subtract.at(used, index[np.unique(np.concatenate(outer))], 1)
-        found = self._entries(words)
+        # One look into the table for the words, and for the bases of those that end in a mark.
+        marked = pc.match_substring_regex(words, r"\pL[" + _MARKS + "]$").to_numpy(zero_copy_only=False)
+        bases = pc.utf8_slice_codeunits(words.filter(pa.array(marked)), 0, -1)
+        at = pc.fill_null(pc.index_in(pa.concat_arrays([words, bases]), value_set=self.known), -1).to_numpy()
+        both = np.append(self.numbers, np.int32(-1))[at]
+        found, base_entries = both[:len(words)].copy(), both[len(words):]
         new = (found < 0) & (used > 0)
         if new.any():
-            found[new] = self._learn(words.filter(pa.array(new)).to_pylist())
+            wanted = new[marked]
+            found[new] = self._learn(words.filter(pa.array(new)), marked[new], bases.filter(pa.array(wanted)), base_entries[wanted])
         entry = found[index]
         for at in outer:
             entry[at] = 0
