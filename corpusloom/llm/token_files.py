@@ -143,10 +143,13 @@ class Encoder:
         for at in outer:
             entry[at] = 0
         plain = np.flatnonzero(~whole)
-        for t, word in zip(plain, flat.take(pa.array(starts[plain])).to_pylist()):
-            if word not in self.first:
-                self.first[word] = self._one(word)
-            entry[starts[t]] = self.first[word]
+        firsts = flat.take(pa.array(starts[plain])).to_pylist()
+        fresh = list(dict.fromkeys(w for w in firsts if w not in self.first))
+        if fresh:
+            coded_alone = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            at = self._add(np.array([i for ids in coded_alone for i in ids], np.int32), np.array(list(map(len, coded_alone))))
+            self.first.update(zip(fresh, range(at, at + len(fresh))))
+        entry[starts[plain]] = [self.first[w] for w in firsts]
         kept = self.entries
         for t in np.flatnonzero(whole):
             entry[starts[t]] = self._one(texts[int(t)].as_py())
