@@ -40,21 +40,25 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def stage_clustered(df: DataFrame, keys: list[str], sent: bool = True) -> DataFrame:
+def stage_clustered(df: DataFrame, keys: list[str], sent: bool = True, buckets: int | None = None, ordered: bool = False) -> DataFrame:
     """Like stage(), with the rows of equal keys in one bucket of a bucketed table, so that joins and aggregates by these
     keys do not move them. The entry in the catalog is only needed to write and open the table and is dropped at once.
 
     With sent the rows of a bucket are sent to one task that writes it; without, each task writes its own part of
-    every bucket that it has rows of, and no row is moved.
+    every bucket that it has rows of, and no row is moved. Tables that meet in joins need the same number of buckets (that of
+    shuffle partitions if not given); ordered ones are sorted by the keys in each bucket file.
     """
     spark = df.sparkSession
     name = f"staged_{uuid.uuid4().hex}"
     target = f"{shared_dir(spark).rstrip('/')}/{name.replace('_', '-')}"
     for scope in _open_scopes.get():
         scope.append(target)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartition(n, *keys) if sent else df
-    (rows.write.bucketBy(n, *keys).option("path", target).option("compression", "zstd").format("parquet").saveAsTable(name))
+    writer = rows.write.bucketBy(n, *keys)
+    if ordered:
+        writer = writer.sortBy(*keys)
+    (writer.option("path", target).option("compression", "zstd").format("parquet").saveAsTable(name))
     table = spark.table(name)
     # A table with a path of its own leaves its files where they are.
     spark.sql(f"drop table {name}")
