@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.rows import BLANKS, map_slices, octets, unused
-from corpusloom.staging import shared_dir, stage
+from corpusloom.staging import stage, stage_clustered
 
 KEY = ["hi", "lo"]
 MIN_CHARS = 10
@@ -65,10 +64,7 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
-         .option("path", f"{shared_dir(self.spark).rstrip('/')}/{name}").saveAsTable(name))
-        return self.spark.table(name)
+        return stage_clustered(rows, list(KEY), buckets=self.buckets, ordered=True)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]

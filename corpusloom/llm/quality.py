@@ -182,14 +182,16 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, order: np.ndarray, prec
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> list[Rule]:
     """Rules from labelled documents (quality 0 or 1) that pass the base tests; at most `sample` labels, chosen by a hash of
-    their id, pass to the driver as a row of statistics each. Labels without an id or a quality are left out."""
+    their id, pass to the driver as a row of statistics each, the least of its document's rows. Labels without an id or a quality are left out."""
     chosen = (labels.where("quality is not null and doc_id is not null")
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # The sample bounds the broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_counts(texts).where(~base_failed()).select(
-        "quality", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)).alias("turn"), *(statistic(a, b).alias(n) for n, a, b in STATISTICS)).toPandas()
+    passed = with_counts(texts).where(~base_failed()).select("doc_id", "quality", F.struct(*(statistic(a, b).alias(n) for n, a, b in STATISTICS)).alias("_s"))
+    # One row for each label, however many rows its document has.
+    rows = passed.groupBy("doc_id", "quality").agg(F.min("_s").alias("_s")).select(
+        "quality", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)).alias("turn"), "_s.*").toPandas()
     table = {n: rows[n].to_numpy(float) for n, _, _ in STATISTICS}
     # In an order that does not depend on the partitions.
     by = np.lexsort([rows["turn"], rows["quality"], *table.values()])

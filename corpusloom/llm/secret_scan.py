@@ -143,7 +143,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of scan()."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row.
+
+    A null text is empty and has none; rows without an id and repeated rows come back as they are; other columns are not
+    looked at; no documents give no rows.
+    """
     base = [r.kind for r in BASE]
 
     def make():
