@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +34,15 @@ _LINE_START = r"(?m)^(?<!\x85)"
 # characters and the byte order mark, and tests faster than a list of ranges.
 _BLANK = r"[\t\x0B\f\r\p{Z}\x{FEFF}]"
 
-_NODE_TO_CODEC = {"utf16le": "utf-16-le", "ucs2": "utf-16-le"}
+def _utf16(content: Column) -> Column:
+    """UTF-16LE to text. The built-in decoder stops at half a surrogate pair, so these become U+FFFD first: the hexadecimal digits
+    are cut into pairs and single units, and what is left alone with a D8 to DF in its high byte is replaced. Few texts
+    have any such byte; the others are decoded as they are. A last odd byte is left out."""
+    whole = F.substring(content, F.lit(1), F.length(content) - F.length(content) % 2)
+    digits = F.hex(whole)
+    units = F.regexp_extract_all(digits, F.lit("..D[89AB]..D[C-F]|...."), F.lit(0))
+    mended = F.array_join(F.transform(units, lambda u: F.when((F.length(u) == 4) & F.rlike(u, F.lit("^..D[89A-F]")), "FDFF").otherwise(u)), "")
+    return F.when(F.rlike(digits, F.lit("D[89A-F]")), F.decode(F.unhex(mended), "UTF-16LE")).otherwise(F.decode(whole, "UTF-16LE"))
 
 
 def read_text(content: Column, encoding: str = "utf8") -> Column:
@@ -49,16 +56,9 @@ def read_text(content: Column, encoding: str = "utf8") -> Column:
         # Only seven bits of a byte count. A zero would mean "leave out" to translate, so it goes apart.
         high, low = "".join(map(chr, range(0x81, 0x100))), "".join(map(chr, range(0x01, 0x80)))
         return F.translate(F.replace(F.decode(content, "ISO-8859-1"), F.lit("\x80"), F.lit("\0")), high, low)
-    if name not in _NODE_TO_CODEC:
+    if name not in ("utf16le", "ucs2"):
         raise ValueError(f"encoding {encoding!r} is not supported")
-    codec = _NODE_TO_CODEC[name]
-
-    # The built-in decoder stops at a half pair; this one replaces it.
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else bytes(b).decode(codec, "replace"))
-
-    return decode(content)
+    return _utf16(content)
 
 
 def language(path: Column) -> Column:

@@ -136,3 +136,13 @@ def test_read_text(spark):
     assert column(spark, [bytearray("é\U0001F600".encode("utf-16-le"))],
                   lambda v: text.read_text(v, "utf16le"), "v binary") == ["é\U0001F600"]
     assert column(spark, [bytearray(b"\xe9")], lambda v: text.read_text(v, "latin1"), "v binary") == ["é"]
+
+
+def test_utf16_with_halves_and_odd_bytes(spark):
+    rng = random.Random(2)
+    units = [0x41, 0xD8, 0xD800, 0xDBFF, 0xDC00, 0xDFFF, 0xD83D, 0xDE00, 0x0D8D, 0x8DD8, 0xFFFE, 0x0A]
+    values = [b"", b"A", b"\x00\xd8", *(b"".join(rng.choice(units).to_bytes(2, "little") for _ in range(rng.randrange(30))) + rng.choice([b"", b"x"]) for _ in range(200))]
+    want = [v[:len(v) // 2 * 2].decode("utf-16-le", "surrogatepass").encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") for v in values]
+    assert column(spark, list(map(bytearray, values)), lambda v: text.read_text(v, "utf16le"), "v binary") == want
+    long = ("日本\U0001F600 " * 60_000).encode("utf-16-le")
+    assert column(spark, [bytearray(long)], lambda v: text.read_text(v, "ucs2"), "v binary") == [long.decode("utf-16-le")]

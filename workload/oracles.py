@@ -177,6 +177,12 @@ def _digest(expr: str, cte: str = _C, table: str = "code") -> str:
                       f"from (select project, path, {expr} as changed from {table}) x")
 
 
+def _bytes(code: str) -> str:
+    """A character for every byte n of the content."""
+    numbers = "list_transform(regexp_extract_all(hex(content), '..'), lambda h: cast('0x' || h as int))"
+    return f"coalesce(list_aggregate(list_transform({numbers}, lambda n: chr({code})), 'string_agg', ''), '')"
+
+
 # --- graph -----------------------------------------------------------------------------------
 
 _Q = """(?:"[^"\\n]*"|''[^''\\n]*'')"""
@@ -265,6 +271,9 @@ def oracle_sql() -> dict[str, str]:
             """select project, strategy, path, depth, reason from closure_1 union all select project, strategy, path, depth, reason
             from closure_2 union all select project, strategy, path, depth, reason from closure_3""", recursive=True),
         "read_text": _digest("chr(65533) || content"),
+        "read_latin1": _digest(_bytes("n")),
+        "read_ascii": _digest(_bytes("n & 127")),
+        "read_utf16": _digest("chr(65533) || content || chr(128512) || chr(65533)"),
         "detect_framework": _with(_G, """
             deps as (select project, coalesce(json_extract_string(content, '$.devDependencies."@nestjs/core"'),
                 json_extract_string(content, '$.dependencies."@nestjs/core"'), '') as nest,

@@ -120,6 +120,25 @@ def read_text(spark, sf_dir):
     return _digest(files, text.read_text(F.col("content")))
 
 
+@query
+def read_latin1(spark, sf_dir):
+    return _digest(adapters.code(spark, sf_dir), text.read_text(F.col("content"), "latin1"))
+
+
+@query
+def read_ascii(spark, sf_dir):
+    return _digest(adapters.code(spark, sf_dir), text.read_text(F.col("content"), "ascii"))
+
+
+@query
+def read_utf16(spark, sf_dir):
+    """Every text in UTF-16 between half a pair and a whole one, with half a unit at its end."""
+    units = F.encode(F.col("content").cast("string"), "UTF-16LE")
+    files = adapters.code(spark, sf_dir).withColumn(
+        "content", F.concat(F.unhex(F.lit("00D8")), units, F.unhex(F.lit("3DD800DE00DC41"))))
+    return _digest(files, text.read_text(F.col("content"), "utf-16le"))
+
+
 @query
 def detect_framework(spark, sf_dir):
     return edges.detect_framework(adapters.graph(spark, sf_dir))
