@@ -13,77 +13,98 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.rows import map_slices, octets
 
-# Of every ANCHOR_WINDOW neighbouring words the one of least checksum ends a unit. Units inside a passage therefore
-# do not depend on what is around it, but for that many words at its ends.
+# Of every ANCHOR_WINDOW neighbouring words the one of least checksum ends a unit, and so does a line of as many words. Units
+# inside a passage therefore do not depend on what is around it, but for about that many words at its ends.
 ANCHOR_WINDOW = 8
-# Shorter units are not compared; they go with the units on both sides.
+# Words of a unit, at least, unless the text has fewer: an end that has another one so near behind it (or a line end beside it) is none.
 LEAST_UNIT = 3
 # Words of a run of repeated units that is removed, at least.
 LEAST_RUN = 20
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_DIGEST = ["hi", "lo"]
 
 
 def units(text: bytes) -> tuple[list[bytes], list[int]]:
-    """(words with A-Z in lower case, where units end): unit k holds words[ends[k - 1]:ends[k]], and no line end."""
+    """(words with A-Z in lower case, where units end): unit k holds words[ends[k - 1]:ends[k]].
+
+    Short lines, as of verse, are no borders, and a text of one word over and over is one unit, so every word is in a unit
+    that is compared.
+    """
     words: list[bytes] = []
-    ends = []
+    lines = []
     for line in text.lower().split(b"\n"):
+        before = len(words)
         words += line.split()
-        ends.append(len(words))
-    if len(words) >= ANCHOR_WINDOW:
-        checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-        windows = np.lib.stride_tricks.sliding_window_view(checks, ANCHOR_WINDOW)
-        # The rightmost least one: the first from the back.
-        last = ANCHOR_WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
-        ends = np.concatenate([ends, np.arange(len(windows)) + last + 1])
-    return words, np.unique(np.array(ends, np.int64)).tolist()
-
-
-def digests(text: bytes) -> list[tuple[int, int, int]]:
-    """(first word, number of words, digest of the words joined by one blank) of every unit of a text."""
+        if len(words) - before >= ANCHOR_WINDOW:
+            lines.append(len(words))
+    if not words:
+        return words, []
+    fixed = np.unique(np.array([*lines, len(words)], np.int64))
+    if len(words) < ANCHOR_WINDOW:
+        return words, fixed.tolist()
+    checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    windows = np.lib.stride_tricks.sliding_window_view(checks, ANCHOR_WINDOW)
+    # The rightmost least one: the first from the back.
+    last = ANCHOR_WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
+    ends = np.unique(np.arange(len(windows)) + last + 1)
+    ends = ends[np.diff(ends, append=len(words) + LEAST_UNIT) >= LEAST_UNIT]
+    near = np.searchsorted(fixed, ends - LEAST_UNIT, side="right")
+    ends = ends[np.abs(fixed[np.minimum(near, len(fixed) - 1)] - ends) >= LEAST_UNIT]
+    return words, np.union1d(ends, fixed).tolist()
+
+
+def digests(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first word, number of words, 128-bit digest of the words joined by one blank) of every unit of a text."""
     words, ends = units(text)
-    return [(a, b - a, xxhash.xxh64_intdigest(b" ".join(words[a:b])) - (1 << 63)) for a, b in zip([0, *ends], ends) if b > a]
+    return [(a, b - a, xxhash.xxh3_128_digest(b" ".join(words[a:b]))) for a, b in zip([0, *ends], ends)]
+
+
+def _with_own(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text): rows without an id are told apart by their text, so that they are no group."""
+    text = octets()
+    return docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(0).alias("own"), text.alias("text"))
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, digest) of every unit that is long enough; no counts all units of the document."""
+    """(doc_id, own, no, hi, lo) of every unit, from (doc_id, own, text)."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, nos, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for no, (_, n, digest) in enumerate(digests(text)):
-                    if n >= LEAST_UNIT:
-                        at.append(i)
-                        nos.append(no)
-                        found.append(digest)
+                listed = digests(text)
+                at += [i] * len(listed)
+                nos += range(len(listed))
+                found += [d for _, _, d in listed]
+            halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            at = pa.array(at, pa.int32())
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(nos, pa.int32()), pa.array(found, pa.int64())],
-                ["doc_id", "no", "digest"])
+                [batch.column("doc_id").take(at), batch.column("own").take(at), pa.array(nos, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                ["doc_id", "own", "no", *_DIGEST])
         return each
 
-    return map_slices(docs.select("doc_id", octets().alias("text")), "text", "doc_id long, no int, digest long", make)
+    return map_slices(docs, "text", "doc_id long, own long, no int, hi long, lo long", make)
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, units): the units (no, digest, first_id) of a document that are not the first of their digest.
+    """(doc_id, own, units): the units (no, hi, lo, first_id) of a document that are not the first of their digest.
 
     The first is that of the smallest doc_id, rows without one coming last, and there the earliest.
     Units are computed twice rather than kept, and only digests move.
     """
     found = unit_digests(docs)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own", "no")
+    first = found.groupBy(*_DIGEST).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A digest may be that of a very common passage: a plain merge join, whose large keys Spark splits.
-    later = found.join(first.hint("merge"), "digest").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("no") == F.col("first.no"))))
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct(
-        "no", "digest", F.col("first.doc_id").alias("first_id"))).alias("units"))
+    later = found.join(first.hint("merge"), _DIGEST).where(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own")) & (F.col("no") == F.col("first.no"))))
+    return later.groupBy("doc_id", "own").agg(F.collect_list(F.struct(
+        "no", *_DIGEST, F.col("first.doc_id").alias("first_id"))).alias("units"))
 
 
-def removed_spans(text: bytes, repeated: dict[tuple[int, int], int | None], least_run: int) -> tuple[int, list[tuple[int, int, set]]]:
+def removed_spans(text: bytes, repeated: dict[tuple[int, bytes], int | None], least_run: int) -> tuple[int, list[tuple[int, int, set]]]:
     """(number of units, spans (start, end, first ids) to remove): runs of repeated units of least_run words
-    or more, with the short units between them; in bytes, from the first word to the last."""
+    or more; in bytes, from the first word to the last."""
     listed = digests(text)
     runs: list[tuple[int, int, set]] = []
     first = last = None
@@ -94,13 +115,13 @@ def removed_spans(text: bytes, repeated: dict[tuple[int, int], int | None], leas
             runs.append((listed[first][0], listed[last][0] + listed[last][1] - 1, ids))
 
     for no, (_, n, digest) in enumerate(listed if repeated else ()):
-        if n >= LEAST_UNIT and (no, digest) in repeated:
+        if (no, digest) in repeated:
             if first is None:
                 first, words, ids = no, 0, set()
             last = no
             words += n
             ids.add(repeated[no, digest])
-        elif n >= LEAST_UNIT:
+        else:
             close()
             first = None
     close()
@@ -110,24 +131,28 @@ def removed_spans(text: bytes, repeated: dict[tuple[int, int], int | None], leas
     return len(listed), [(places[a][0], places[b][1], found) for a, b, found in runs]
 
 
+def _found(marked: list[dict] | None) -> dict[tuple[int, bytes], int | None]:
+    return {(u["no"], np.array([u["hi"], u["lo"]], "<i8").tobytes()): u["first_id"] for u in marked or ()}
+
+
 def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """(doc_id, n_units, n_removed, removed, first_ids, text): every document without passages that came before.
 
     removed lists the removed spans (start, end) in code points of the original text, first_ids the
     documents that keep them, text is what is left. n_removed counts the spans. A null text is
-    empty. Rows of one doc_id are one document. Equal texts lose all but the smallest doc_id's,
-    rows without an id come last. An empty table gives an empty result.
+    empty. Rows of one doc_id are one document, and so are rows without an id of one text; these come last. Equal texts lose all but the
+    smallest doc_id's if they have least_run words. Other columns are not looked at; an empty table gives an empty result.
     """
-    marks = repeated_units(docs)
-    texts = docs.select("doc_id", octets().alias("text"))
-    joined = texts.alias("l").join(marks.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select(
+    texts = _with_own(docs)
+    marks = repeated_units(texts)
+    joined = texts.alias("l").join(marks.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.own") == F.col("r.own")), "left").select(
         "l.doc_id", "text", "units")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for text, marked in zip(batch.column("text").to_pylist(), batch.column("units").to_pylist()):
-                n, spans = removed_spans(text, {(u["no"], u["digest"]): u["first_id"] for u in marked or ()}, least_run)
+                n, spans = removed_spans(text, _found(marked), least_run)
                 chars, kept, at = [], [], 0
                 for a, b, _ in spans:
                     kept.append(text[at:a])
