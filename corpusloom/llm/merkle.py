@@ -165,8 +165,8 @@ def build(leaves: DataFrame, order: list[Column], height: int = HEIGHT) -> Manif
         found = tier.where("last").select("tree", _root())
         roots = found if roots is None else roots.unionByName(found)
     named = numbered(roots.select(F.lit(TOP).alias("over"), "tree", "digest"), ["over"], [F.col("tree")], "pos")
-    named = stage(named.select("tree", (F.col("pos") - 1).alias("pos"), "digest"))
-    top = _tiers(named.select(F.lit(TOP).alias("tree"), "pos", "digest"), height)
+    named = stage(named.select("over", "tree", (F.col("pos") - 1).alias("pos"), "digest"))
+    top = _tiers(named.select(F.col("over").alias("tree"), "pos", "digest"), height)
     return Manifest(placed, tiers, named, top, height)
 
 
