@@ -21,7 +21,9 @@ LEAST_UNIT = 3
 # Words of a run of repeated units that is removed, at least.
 LEAST_RUN = 20
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+# 96 bits of a digest, as a long and an int: at 10 ** 12 units two unequal ones share them with a probability below 1e-5.
 _DIGEST = ["hi", "lo"]
+_HALVES = np.dtype([("hi", "<i8"), ("lo", "<i4")])
 
 
 def units(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -54,9 +56,9 @@ def units(text: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def digests(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first word, number of words, 128-bit digest of the words joined by one blank) of every unit of a text."""
+    """(first word, number of words, digest of the words joined by one blank) of every unit of a text."""
     words, ends = units(text)
-    return [(a, b - a, xxhash.xxh3_128_digest(b" ".join(words[a:b]))) for a, b in zip([0, *ends], ends)]
+    return [(a, b - a, xxhash.xxh3_128_digest(b" ".join(words[a:b]))[:_HALVES.itemsize]) for a, b in zip([0, *ends], ends)]
 
 
 def _with_own(docs: DataFrame) -> DataFrame:
@@ -76,14 +78,14 @@ def unit_digests(docs: DataFrame) -> DataFrame:
                 at += [i] * len(listed)
                 nos += range(len(listed))
                 found += [d for _, _, d in listed]
-            halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            halves = np.frombuffer(b"".join(found), _HALVES)
             at = pa.array(at, pa.int32())
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("own").take(at), pa.array(nos, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                [batch.column("doc_id").take(at), batch.column("own").take(at), pa.array(nos, pa.int32()), pa.array(halves["hi"].copy()), pa.array(halves["lo"].copy())],
                 ["doc_id", "own", "no", *_DIGEST])
         return each
 
-    return map_slices(docs, "text", "doc_id long, own long, no int, hi long, lo long", make)
+    return map_slices(docs, "text", "doc_id long, own long, no int, hi long, lo int", make)
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def removed_spans(text: bytes, repeated: dict[tuple[int, bytes], int | None], le
 
 
 def _found(marked: list[dict] | None) -> dict[tuple[int, bytes], int | None]:
-    return {(u["no"], np.array([u["hi"], u["lo"]], "<i8").tobytes()): u["first_id"] for u in marked or ()}
+    return {(u["no"], np.array((u["hi"], u["lo"]), _HALVES).tobytes()): u["first_id"] for u in marked or ()}
 
 
 def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
