@@ -115,6 +115,21 @@ class Encoder:
         self.numbers = np.concatenate([self.numbers, numbers, found[marked]])
         return found
 
+    def _learn_firsts(self, words: list[str]) -> None:
+        """Entries for words without a blank before them: a line end between two is a piece of its own, if no white space is beside it."""
+        together = [w for w in words if w and w[0] not in _BLANKS and w[-1] not in _BLANKS]
+        for i in range(0, len(together), _TOGETHER):
+            some = together[i:i + _TOGETHER]
+            ids = self._plain("\n".join(some) + "\n")
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in some])) + 1
+            kept = np.ones(len(ids), bool)
+            kept[ends - 1] = False
+            at = self._add(ids[kept], np.diff(ends, prepend=0) - 1)
+            self.first.update(zip(some, range(at, at + len(some))))
+        for word in words:
+            if word not in self.first:
+                self.first[word] = self._one(word)
+
     def encode(self, texts: pa.StringArray, end: int | None = None) -> pa.ListArray:
         """The ids of every text, as a list array of 32-bit integers, each with the id `end` behind it if given."""
         if len(self.known) + len(self.first) > MOST_WORDS:
@@ -144,11 +159,7 @@ class Encoder:
             entry[at] = 0
         plain = np.flatnonzero(~whole)
         firsts = flat.take(pa.array(starts[plain])).to_pylist()
-        fresh = list(dict.fromkeys(w for w in firsts if w not in self.first))
-        if fresh:
-            coded_alone = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            at = self._add(np.array([i for ids in coded_alone for i in ids], np.int32), np.array(list(map(len, coded_alone))))
-            self.first.update(zip(fresh, range(at, at + len(fresh))))
+        self._learn_firsts(list(dict.fromkeys(w for w in firsts if w not in self.first)))
         entry[starts[plain]] = [self.first[w] for w in firsts]
         kept = self.entries
         for t in np.flatnonzero(whole):
