@@ -114,6 +114,11 @@ def _walked(entries: DataFrame, edges: DataFrame) -> DataFrame:
         _post_order, "project string, strategy string, path string, topo_pos long")
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """For joins of many rounds: a table that just passes for small would go through the driver once a round."""
+    return df.hint("merge")
+
+
 def _numbers(tree: DataFrame, rounds: int) -> DataFrame:
     """(id, pre, last, post) of a forest (id, root, parent, kind, ord): the place of a node in pre-order, that of the last node below
     it, and its place in post-order, each within its tree.
@@ -125,14 +130,14 @@ def _numbers(tree: DataFrame, rounds: int) -> DataFrame:
     linked = tree.withColumn("_next", F.lead("id").over(children)).withColumn("_nth", F.row_number().over(children))
     firsts = linked.where("parent is not null and _nth = 1").select(F.col("parent").alias("id"), F.col("id").alias("_child"))
     after_leave = F.when(F.col("parent").isNull(), F.lit(None)).otherwise(F.coalesce(2 * F.col("_next"), 2 * F.col("parent") + 1))
-    events = stage(linked.join(firsts, "id", "left").select("root", F.inline(F.array(
+    events = stage(linked.join(_merged(firsts), "id", "left").select("root", F.inline(F.array(
         F.struct((2 * F.col("id")).alias("event"), F.coalesce(2 * F.col("_child"), 2 * F.col("id") + 1).alias("next"),
                  F.lit(1).cast("long").alias("enters"), F.lit(0).cast("long").alias("leaves")),
         F.struct((2 * F.col("id") + 1).alias("event"), after_leave.alias("next"),
                  F.lit(0).cast("long").alias("enters"), F.lit(1).cast("long").alias("leaves"))))))
     for _ in range(rounds):
         ahead = events.select(F.col("event").alias("next"), F.col("next").alias("_next"), F.col("enters").alias("_enters"), F.col("leaves").alias("_leaves"))
-        events = stage(events.join(ahead, "next", "left").select(
+        events = stage(events.join(_merged(ahead), "next", "left").select(
             "root", "event", F.col("_next").alias("next"), (F.col("enters") + F.coalesce("_enters", F.lit(0))).alias("enters"),
             (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("leaves")))
     entered = (F.col("event") % 2) == 0
@@ -140,7 +145,7 @@ def _numbers(tree: DataFrame, rounds: int) -> DataFrame:
     per_node = events.groupBy("root", F.shiftright("event", 1).alias("id")).agg(
         F.max(F.when(entered, F.col("enters"))).alias("_in"), F.max(F.when(~entered, F.col("enters"))).alias("_out"),
         F.max(F.when(~entered, F.col("leaves"))).alias("_left"))
-    return per_node.join(sizes, "root").select(
+    return per_node.join(_merged(sizes), "root").select(
         "id", (F.col("_n") - F.col("_in")).alias("pre"), (F.col("_n") - F.col("_out") - 1).alias("last"), (F.col("_n") - F.col("_left")).alias("post"))
 
 
@@ -162,25 +167,25 @@ def topo_order_by_joins(entries: DataFrame, edges: DataFrame, depths: DataFrame)
     def end(side: str) -> DataFrame:
         return nodes.select(*keys, F.col("path").alias(side), F.col("id").alias(f"{side}_id"), F.col("depth").alias(f"{side}_depth"))
 
-    steps = stage(edges.join(end("src"), [*keys, "src"]).join(end("dst"), [*keys, "dst"]).select(
+    steps = stage(edges.join(_merged(end("src")), [*keys, "src"]).join(_merged(end("dst")), [*keys, "dst"]).select(
         F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "turn.kind", "turn.ord", (F.col("dst_depth") == F.col("src_depth") + 1).alias("down")))
     above = steps.where("down").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("kind", "ord", F.col("src").alias("parent"))).alias("at"))
-    tree = stage(nodes.join(roots, keys).join(above, "id", "left").select(
+    tree = stage(nodes.join(_merged(roots), keys).join(_merged(above), "id", "left").select(
         "id", "root", F.when(F.col("depth") > 0, F.col("at.parent")).alias("parent"), "at.kind", "at.ord"))
     before = Window.partitionBy("src").orderBy("kind", "ord").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         numbers = stage(_numbers(tree, rounds))
         inside = tree.select(F.col("id").alias("dst"), F.col("parent").alias("src"), F.lit(True).alias("taken"))
-        met = (steps.join(inside, ["src", "dst"], "left")
-               .join(numbers.select(F.col("id").alias("dst"), F.col("pre").alias("dst_pre"), "last"), "dst")
-               .join(numbers.select(F.col("id").alias("src"), "pre"), "src")
+        met = (steps.join(_merged(inside), ["src", "dst"], "left")
+               .join(_merged(numbers.select(F.col("id").alias("dst"), F.col("pre").alias("dst_pre"), "last")), "dst")
+               .join(_merged(numbers.select(F.col("id").alias("src"), "pre")), "src")
                # The last file that the walk has met when it comes to this edge.
                .withColumn("met", F.coalesce(F.max(F.when(F.col("taken"), F.col("last"))).over(before), F.col("pre"))))
         moved = stage(met.where("taken is null and met < dst_pre").groupBy(F.col("dst").alias("id")).agg(
             F.min(F.struct("met", (-F.col("pre")).alias("up"), "kind", "ord", F.col("src").alias("parent"))).alias("to")))
         if moved.isEmpty():
-            return nodes.join(numbers, "id").select(*keys, "path", F.col("post").alias("topo_pos"))
-        tree = stage(tree.join(moved, "id", "left").select("id", "root", *(F.coalesce(f"to.{c}", c).alias(c) for c in ("parent", "kind", "ord"))))
+            return nodes.join(_merged(numbers), "id").select(*keys, "path", F.col("post").alias("topo_pos"))
+        tree = stage(tree.join(_merged(moved), "id", "left").select("id", "root", *(F.coalesce(f"to.{c}", c).alias(c) for c in ("parent", "kind", "ord"))))
 
 
 def topo_order(entries: DataFrame, edges: DataFrame, depths: DataFrame, walked: int = WALKED) -> DataFrame:
