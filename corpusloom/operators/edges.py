@@ -283,8 +283,8 @@ def module_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     names = spread_join(listed, nest, ["project"], "inner", "src")
     bindings = import_bindings(resolved).groupBy("project", "src", "ident").agg(
         F.min(F.struct("ord", "dst"))["dst"].alias("dst"))
-    # Both sides are spread by file, so this join has no hot key.
-    joined = names.join(bindings, ["project", "src", "ident"], "left")
+    # Both sides are spread by file, so this join has no hot key. Names repeat and are small as a file, but not on the driver.
+    joined = names.join(bindings.hint("merge"), ["project", "src", "ident"], "left")
     dst = F.coalesce("dst", F.when(F.col("_own"), F.col("src")))
     return joined.select(
         "project", "src", dst.alias("dst"), F.lit(MODULE).alias("kind"), "ord", F.col("ident").alias("spec"),
