@@ -23,6 +23,9 @@ IMPORT, CALL, MODULE = 0, 1, 2
 IN_NODE_MODULES = r"(^|/)node_modules/"
 
 _COMMENT = r"(?://[^\n]*+|/\*(?s:.*?)\*/)"
+# The same where nothing follows that could make it longer: runs without a star are taken in one go.
+_BLOCK = r"/\*(?>[^*]*)(?:\*(?!/)(?>[^*]*))*+\*/"
+_SKIPPED = r"(?://[^\n]*+|" + _BLOCK + ")"
 _WORD = r"[\w$\s{},*\x{80}-\x{10FFFF}]"
 _QUOTED = r"""(?:"[^"\n]*"|'[^'\n]*')"""
 _TEMPLATE = r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
@@ -31,7 +34,7 @@ _CLAUSE = r"(?:" + _WORD + r"*?" + _COMMENT + r")*?" + _WORD + r"*?"
 # Left to right, a comment or a string hides what is inside it. A wrong guess about a
 # quote costs at most the rest of its line. The look-ahead skips all other characters fast.
 _LEXER = "(?=[/ir'\"`])(?:" + "|".join([
-    _COMMENT,
+    _SKIPPED,
     _TEMPLATE,
     r"\bimport\s+[\w$]+\s*=\s*require\s*\(\s*" + _QUOTED,
     "(" + "|".join([
@@ -232,15 +235,37 @@ _MODULE_PROPS = ("imports", "controllers", "providers", "exports")
 _MODULE_TOKENS = "|".join([_COMMENT, _QUOTED, _TEMPLATE, r"@Module\s*+\(", r"[\w$.]+", r"[()\[\]{}:,]"])
 
 
+def _module_calls(levels: int) -> str:
+    """Each @Module(...) that no comment or string hides, with brackets of so many levels in it; one with more, or
+    without an end, goes to the end of the text. Every match takes what lies before it, so none starts at each character."""
+    hiding = [_SKIPPED, _QUOTED, _TEMPLATE]
+    plain = "|".join([r"""[^()\[\]{}/"'`@]++""", *hiding, r"@Module\s*+\(", r"""[/"'`@]"""])
+    inside = f"(?:{plain})*+"
+    for _ in range(levels):
+        inside = rf"(?:{plain}|[(\[{{]{inside}[)\]}}])*+"
+    call = rf"(@Module\s*+\((?:{inside}[)\]}}]|(?s:.*)))"
+    return r"""(?>[^/"'`@]*)(?:""" + "|".join([*hiding, call, r"""[/"'`@]""", r"\z"]) + ")"
+
+
+_MODULE_CALLS = _module_calls(6)
+
+
+def module_calls(text: Column) -> Column:
+    """The texts of all @Module(...) calls, in text order."""
+    return F.filter(F.regexp_extract_all(text, F.lit(_MODULE_CALLS), F.lit(1)), lambda c: c != "")
+
+
 def module_names(text: Column) -> Column:
     """array<struct<prop, ident>>: the identifiers listed in the arrays of every @Module({...}), in text order.
 
-    One pass over the tokens that keeps the depth of open brackets: the call is 1, its object 2, an
+    One pass over the tokens of the calls alone that keeps the depth of open brackets: the call is 1, its object 2, an
     array 3. What is nested deeper, as the options of T.forRoot({...}), belongs to its element,
     which then is no identifier.
     """
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(_MODULE_TOKENS), F.lit(0)),
-                      lambda t: ~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*")))
+    def tokens(call: Column) -> Column:
+        return F.filter(F.regexp_extract_all(call, F.lit(_MODULE_TOKENS), F.lit(0)),
+                        lambda t: ~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*")))
+
     nothing = F.array().cast("array<struct<prop: string, ident: string>>")
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("key"), F.lit("").alias("prop"), F.lit("").alias("item"),
                      nothing.alias("found"))
@@ -263,7 +288,7 @@ def module_names(text: Column) -> Column:
                    F.concat(s["found"], F.array(F.struct(s["prop"].alias("prop"), item.alias("ident")))))
             .otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(tokens, start, step, lambda s: s["found"])
+    return F.flatten(F.transform(module_calls(text), lambda c: F.aggregate(tokens(c), start, step, lambda s: s["found"])))
 
 
 def module_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
@@ -271,9 +296,9 @@ def module_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     file it is imported from, or to its own file if it is declared there. Texts are read where they lie."""
     nest = detect_framework(files).where("framework = 'nestjs'").select("project")
     body = read_text(F.col("content"))
-    # Any character as a dot: a class of two halves takes ten times as long.
-    bare = F.regexp_replace(F.regexp_replace(body, r"/\*(?s:.*?)\*/", ""), r"(^|[^:])//[^\n]*", "$1")
-    declared = F.regexp_extract_all(bare, F.lit(r"\b(?:class|function|const|let|var)\s+([\w$]+)"), F.lit(1))
+    # What is tested at every character is a literal or a set; the look-behind and the word border come after it.
+    bare = F.regexp_replace(F.regexp_replace(body, _BLOCK, ""), r"//(?<!://)[^\n]*", "")
+    declared = F.regexp_extract_all(bare, F.lit(r"(?=[cflv])\b(?:class|function|const|let|var)\s+([\w$]+)"), F.lit(1))
     # As variables of a lambda both lists are found once a file. A column beside the exploded one would be worked out for every name.
     per_file = F.transform(F.array(F.struct(module_names(body).alias("names"), declared.alias("declared"))), lambda f: F.transform(
         f["names"], lambda n, i: F.struct(i.cast("long").alias("ord"), n["prop"].alias("prop"), n["ident"].alias("ident"),
