@@ -270,23 +270,28 @@ def module_names(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("key"), F.lit("").alias("prop"), F.lit("").alias("item"),
                      nothing.alias("found"))
 
+    # Kinds of tokens apart, since a lambda works out all that a branch holds, and what it holds twice it works out twice.
+    def state(depth: Column, found: Column, key=F.lit(""), prop=F.lit(""), item=F.lit("")) -> Column:
+        return F.struct(depth.alias("depth"), key.alias("key"), prop.alias("prop"), item.alias("item"), found.alias("found"))
+
     def step(s: Column, t: Column) -> Column:
-        depth = s["depth"]
-        opens, closes = t.isin("(", "{", "["), t.isin(")", "}", "]")
-        listed = (depth == 3) & (s["prop"] != "")
-        ends = listed & t.isin(",", "]")
-        item = F.btrim(s["item"])
-        new_depth = (F.when(depth == 0, F.startswith(t, F.lit("@Module")).cast("int")).when(opens, depth + 1)
-                     .when(closes, depth - 1).otherwise(depth))
-        return F.struct(
-            new_depth.alias("depth"),
-            F.when(depth != 2, "").when(t == ":", F.concat(s["key"], t)).otherwise(t).alias("key"),
-            F.when((depth == 2) & (t == "[") & s["key"].isin(*(p + ":" for p in _MODULE_PROPS)), F.rtrim(s["key"], F.lit(":")))
-            .when(new_depth < 3, "").otherwise(s["prop"]).alias("prop"),
-            F.when(ends | (depth < 3), "").when(listed, F.concat(s["item"], F.lit(" "), t)).otherwise(s["item"]).alias("item"),
-            F.when(ends & F.rlike(item, F.lit(r"\A[A-Za-z_$][\w$]*\z")),
-                   F.concat(s["found"], F.array(F.struct(s["prop"].alias("prop"), item.alias("ident")))))
-            .otherwise(s["found"]).alias("found"))
+        depth, key, prop, item, found = (s[c] for c in ("depth", "key", "prop", "item", "found"))
+        named = F.rlike(item, F.lit(r"\A *[A-Za-z_$][\w$]* *\z"))
+        more = F.concat(found, F.array(F.struct(prop.alias("prop"), F.btrim(item).alias("ident"))))
+        longer = F.concat(item, F.lit(" "), t)
+        deeper = F.when(F.contains(F.lit("([{"), t), depth + 1).otherwise(depth - 1)
+        listed = (depth == 3) & (prop != "")
+        bracket = state(
+            deeper, F.when(listed & (t == "]") & named, more).otherwise(found), F.when(depth == 2, t).otherwise(""),
+            F.when((depth == 2) & (t == "[") & key.isin(*(p + ":" for p in _MODULE_PROPS)), F.rtrim(key, F.lit(":")))
+            .when(deeper < 3, "").otherwise(prop),
+            F.when((depth < 3) | (listed & (t == "]")), "").when(listed, longer).otherwise(item))
+        return (F.when(depth == 0, state(F.startswith(t, F.lit("@Module")).cast("int"), found))
+                .when(F.contains(F.lit("()[]{}"), t), bracket)
+                .when(listed & (t == ","), state(depth, F.when(named, more).otherwise(found), prop=prop))
+                .when(listed, state(depth, found, prop=prop, item=longer))
+                .when(depth == 2, state(depth, found, F.when(t == ":", F.concat(key, t)).otherwise(t)))
+                .otherwise(s))
 
     return F.flatten(F.transform(module_calls(text), lambda c: F.aggregate(tokens(c), start, step, lambda s: s["found"])))
 
