@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +87,16 @@ def closure_edges(closure: DataFrame, edges: DataFrame) -> DataFrame:
     return taken.where("src <> dst").groupBy("project", "strategy", "src", "dst").agg(F.min(F.struct("kind", "ord")).alias("turn"))
 
 
-def _post_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first post-order from the entry; an edge back into the open branch is skipped."""
-    entry = rows.loc[rows["dst"].isna(), "src"].iloc[0]
-    edges = rows[rows["dst"].notna()].sort_values(["src", "kind", "ord"])
-    targets = edges.groupby("src", sort=False)["dst"].agg(list).to_dict()
+def _post_order(rows: pa.Table) -> pa.Table:
+    """Depth-first post-order from the entry; an edge back into the open branch is skipped. Closures are many and mostly
+    small, so what a call costs counts."""
+    rows = rows.sort_by([(c, "ascending") for c in ("src", "kind", "ord", "dst")])
+    entry, targets = None, {}
+    for src, dst in zip(rows["src"].to_pylist(), rows["dst"].to_pylist()):
+        if dst is None:
+            entry = src
+        else:
+            targets.setdefault(src, []).append(dst)
     order, met, branch = [], {entry}, [(entry, iter(targets.get(entry, ())))]
     while branch:
         node, rest = branch[-1]
@@ -102,15 +107,15 @@ def _post_order(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             met.add(child)
             branch.append((child, iter(targets.get(child, ()))))
-    return pd.DataFrame({"project": rows["project"].iloc[0], "strategy": rows["strategy"].iloc[0],
-                         "path": order, "topo_pos": range(len(order))})
+    keys = {c: pa.repeat(rows[c][0], len(order)) for c in ("project", "strategy")}
+    return pa.table(keys | {"path": pa.array(order, pa.string()), "topo_pos": pa.array(range(len(order)), pa.int64())})
 
 
 def _walked(entries: DataFrame, edges: DataFrame) -> DataFrame:
     rows = edges.select("project", "strategy", "src", "dst", "turn.kind", "turn.ord").unionByName(
         entries.select("project", "strategy", F.col("entry").alias("src"), F.lit(None).cast("string").alias("dst"),
                        F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord")))
-    return rows.groupBy("project", "strategy").applyInPandas(
+    return rows.groupBy("project", "strategy").applyInArrow(
         _post_order, "project string, strategy string, path string, topo_pos long")
 
 
